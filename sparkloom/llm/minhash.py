@@ -215,7 +215,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, le
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS, least: tuple[int, int] = (LEAST, LEAST_OF)) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and ``tag``, the row's number."""
+    """One row per document: doc_id, n_shingles, component_id, kept, and the row's number and text hash."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("tag"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = written(signatures(docs, "text", width), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"), F.col("text_key").alias("key"))
@@ -258,11 +258,24 @@ def settled(rows: DataFrame, reps: DataFrame, roots: DataFrame, key: list[str])
     rooted = reps.select(*key, "rep", F.struct("no_id", F.col("first_id").alias("id"), F.col("rep").alias("tag")).alias("first")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     placed = rooted.join(least, "root").select(*key, "least")
-    joined = rows.select("doc_id", "tag", *key).join(placed, key, "left")
+    joined = rows.select("doc_id", "tag", "text_key", *key).join(placed, key, "left")
     return joined.select(
         "doc_id",
         "n_shingles",
         F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.id")).alias("component_id"),
         F.coalesce(F.col("tag") == F.col("least.tag"), F.lit(True)).alias("kept"),
         "tag",
+        "text_key",
     )
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS, least: tuple[int, int] = (LEAST, LEAST_OF)) -> DataFrame:
+    """``docs`` with one document of each component, all columns as they were.
+
+    Whole repeats of a kept row, in id and text, stay with it; exact
+    de-duplication removes those.
+    """
+    found = near_groups(docs, text, doc_id, width, least)
+    dropped = written(found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("kept").alias("kept")).filter("not kept").select("__id", "__key"), "dropped")
+    same = docs[doc_id].eqNullSafe(dropped["__id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == dropped["__key"])
+    return docs.join(dropped, same, "left_anti")

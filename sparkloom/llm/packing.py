@@ -158,7 +158,7 @@ class Stream:
             "doc_tokens": np.array(self.totals, np.int64)[doc],
             "sequence_id": self.sequence + seq,
             "offset": lo - starts[seq],
-            "ids": pieces,
+            "ids": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids[:stop].view(np.int32))),
         }
         self.sequence += len(chosen)
         done = int(np.searchsorted(begin, stop, side="right")) - 1
@@ -170,15 +170,14 @@ class Stream:
 def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", with_ids: bool = True, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if wanted."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fields = {"start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long"} | ({"ids": "array<long>"} if with_ids else {})
-    kinds = {"ids": pa.list_(pa.int64())}
+    fields = {"start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long"} | ({"ids": "array<int>"} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ends, spaces = tokenizer(path)
         stream, key = Stream(ends, spaces, TaskContext.get().partitionId() << 33, window), pa.int64()
 
         def arrow(out: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(out["doc_id"], key), *[pa.array(out[c], kinds.get(c, pa.int64())) for c in fields]], names=["doc_id", *fields])
+            return pa.RecordBatch.from_arrays([pa.array(out["doc_id"], key), *[out[c] if c == "ids" else pa.array(out[c], pa.int64()) for c in fields]], names=["doc_id", *fields])
 
         for batch in batches:
             key, keys = batch.column("doc_id").type, batch.column("doc_id").to_pylist()

@@ -5,7 +5,7 @@ from sparkloom.llm.tables import table
 
 
 def op9_minhash(spark, sf_dir):
-    return near_groups(table(spark, sf_dir, "documents")).drop("tag")
+    return near_groups(table(spark, sf_dir, "documents")).drop("tag", "text_key")
 
 
 QUERIES = {"op9_minhash": op9_minhash}
