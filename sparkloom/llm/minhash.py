@@ -15,8 +15,10 @@
    are confirmed on full sets. Confirmed links give components.
 4. What is left are pairs of documents that share a posting but no component.
    Outside a posting's main component documents are few; these are joined with
-   the posting's other documents, collisions are counted within the join, and
-   pairs that pass are confirmed. Pairs inside a component are never formed.
+   the posting's other documents. The join's condition compares parities, which
+   bound from below how far two sets differ and so lose nothing, and counts
+   collisions; hardly more than links leave it. Those are confirmed on full
+   sets. Pairs inside a component are never compared.
 
 A pair whose similarity is exactly the limit 0.8 collides in 51.2 of 64
 coordinates on average with a deviation of 3.2; fewer than 39 has a chance of
@@ -41,7 +43,7 @@ from sparkloom.llm.arrow_text import text_slices
 from sparkloom.llm.components import components
 from sparkloom.session import written
 
-COORDINATES, MATCHES, ROUNDS = 64, 39, 3
+COORDINATES, MATCHES, ROUNDS, PARITIES = 64, 39, 3, 16
 #: Links need LEAST_OF * intersection >= LEAST * union.
 LEAST, LEAST_OF = 80, 100
 WORDS = 4
@@ -165,15 +167,24 @@ def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
     )
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITIES bins whether it holds an odd number of shingles, 64 to a number.
+
+    Two sets differ in at least as many shingles as bits of their parities.
+    """
+    return np.packbits((np.bincount((shingles % _U(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(bool)).view(np.int64)
+
+
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """rep and its whole set of shingles, from (rep, text)."""
+    """rep, its whole set of shingles and the parities, from (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.view(np.int64) for _, s in _sets(batch, "text", width)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
+            sets = [s for _, s in _sets(batch, "text", width)]
+            longs = lambda x: pa.array([y.view(np.int64) for y in x], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), longs(sets), longs(map(parities, sets))], names=["rep", "shingles", "parities"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>, parities array<long>")
 
 
 def collisions(x: Column, y: Column) -> Column:
@@ -203,15 +214,17 @@ def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(table.select(F.col("rep").alias("a"), F.col(column).alias("x")), "a").join(table.select(F.col("rep").alias("b"), F.col(column).alias("y")), "b")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs that are links, by their whole sets."""
-    asked = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    where = asked.join(reps.select("rep", F.col("first_id").alias("id"), F.col("text_key").alias("key")), "rep")
+def sets_of(asked: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Whole sets of the representatives in ``asked``, from their texts."""
+    where = asked.select("rep").distinct().join(reps.select("rep", F.col("first_id").alias("id"), F.col("text_key").alias("key")), "rep")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(where, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
-    sets = written(full_sets(texts.select("rep", "text"), width).dropDuplicates(["rep"]), "sets")
+    return full_sets(texts.select("rep", "text"), width).dropDuplicates(["rep"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs that are links, by their whole sets."""
     both, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    of, want = least[1], least[0]
-    return with_both(pairs, sets, "shingles").filter(of * both >= want * (total - both)).select("a", "b")
+    return with_both(pairs, sets, "shingles").filter(least[1] * both >= least[0] * (total - both)).select("a", "b")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WORDS, least: tuple[int, int] = (LEAST, LEAST_OF)) -> DataFrame:
@@ -224,32 +237,38 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     reps = written(first.select(*key, F.col("first.tag").alias("rep"), F.col("first.id").alias("first_id"), F.col("first.no_id").alias("no_id"), F.col("first.key").alias("text_key"), "coordinates"), "representatives")
     posts = written(postings(reps), "postings")
 
+    sets = written(sets_of(posts, reps, docs, width), "sets")
+
     turns = led(posts, 0)
     for turn in range(1, ROUNDS):
         turns = turns.unionByName(led(posts, turn))
-    tried = with_both(turns.distinct(), reps, "coordinates").filter(collisions(F.col("x"), F.col("y")) >= MATCHES).select("a", "b")
-    links = written(confirmed(written(tried, "pairs"), reps, docs, width, least), "links")
+    tried = written(with_both(turns.distinct(), reps, "coordinates").filter(collisions(F.col("x"), F.col("y")) >= MATCHES).select("a", "b"), "pairs")
+    links = written(confirmed(tried, sets, least), "links")
     roots = written(components(links), "roots")
-
-    rest = across(posts, roots, reps)
-    more = written(rest, "pairs")
+    more = written(confirmed(across(posts, roots, reps, sets, least), sets, least), "links")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, reps, docs, width, least))
-        roots = components(links)
+        roots = components(links.unionByName(more))
     return settled(rows, reps, roots, key)
 
 
-def across(posts: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs that share a posting but no component and collide often enough."""
+def across(posts: DataFrame, roots: DataFrame, reps: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs that share a posting but no component, may be links by their parities and collide often enough.
+
+    Both are tested within the join, so few pairs but links leave it.
+    """
     placed = posts.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("posting", "rep", F.coalesce("root", "rep").alias("root"))
     sizes = placed.groupBy("posting", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("posting").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("posting", F.col("m.root").alias("main"))
-    mixed = written(placed.join(main, "posting").join(reps.select("rep", "coordinates"), "rep"), "mixed-postings")
-    few = mixed.filter("root <> main").select("posting", F.col("rep").alias("few"), F.col("root").alias("few_root"), F.col("coordinates").alias("x"))
-    all_ = mixed.select("posting", "rep", "root", F.col("coordinates").alias("y"), "main")
+    # one column each: the compiled condition stays short
+    thin = sets.select("rep", F.size("shingles").alias("n"), *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)])
+    mixed = written(placed.join(main, "posting"), "mixed-postings").join(reps.select("rep", "coordinates"), "rep").join(thin, "rep")
+    few = mixed.filter("root <> main").select("posting", F.col("rep").alias("few"), F.col("root").alias("few_root"), F.col("coordinates").alias("x"), F.col("n").alias("few_n"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(PARITIES)])
     # of two documents outside the main component, the smaller one asks
     asks = (F.col("root") != F.col("few_root")) & ((F.col("root") == F.col("main")) | (F.col("few") < F.col("rep")))
-    found = few.join(all_, (few["posting"] == all_["posting"]) & asks & (collisions(F.col("x"), F.col("y")) >= MATCHES))
+    apart = F.expr(" + ".join(f"bit_count(p{i} ^ q{i})" for i in range(PARITIES)))
+    # sets whose intersection is least[0] / least[1] of the union differ in no more shingles than this
+    near = (apart * (least[1] + least[0]) <= (F.col("n") + F.col("few_n")) * (least[1] - least[0])) & (collisions(F.col("x"), F.col("coordinates")) >= MATCHES)
+    found = few.join(mixed, (few["posting"] == mixed["posting"]) & asks & near)
     return found.select(F.least("few", "rep").alias("a"), F.greatest("few", "rep").alias("b")).distinct()
 
 
