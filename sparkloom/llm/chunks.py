@@ -11,25 +11,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
+class Memo(dict):
+    """Makes what is asked for and missing; nothing for a piece that doesn't end a run."""
+
+    def __init__(self, mark: str, one: Callable[[str], bytes] | None):
+        self.mark, self.one = mark, one
+
+    def __missing__(self, piece: str) -> bytes | None:
+        self[piece] = made = self.one(self.mark + piece) if piece and not piece[-1].isspace() else None
+        return made
+
+
 class PieceTable:
     """Encodings of pieces, as bytes that can be joined.
 
-    ``encode`` takes a list of pieces and gives a list of bytes. The table is
-    emptied when it holds ``most`` pieces, so its memory is bounded.
+    ``encode`` takes a list of pieces and gives a list of bytes; ``one``, if
+    given, encodes a single piece where that is as fast. The table is emptied
+    when it holds ``most`` pieces, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 300_000):
-        self.encode, self.most = encode, most
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 500_000, one: Callable[[str], bytes] | None = None):
+        self.encode, self.most, self.one = encode, most, one
+        self.first, self.later = Memo("", one), Memo(" ", one)
 
     def learn(self, texts: list[list[str]]) -> None:
         """Add what is missing of texts split at single spaces. A piece that doesn't end a run gets None."""
         if len(self.first) + len(self.later) > self.most:
             self.first.clear()
             self.later.clear()
-        for table, mark, seen in ((self.first, "", {t[0] for t in texts}), (self.later, " ", {p for t in texts for p in t[1:]})):
-            new = [p for p in seen if p not in table]
+        if self.one is not None:
+            return
+        later: set[str] = set()
+        for t in texts:
+            later.update(t[1:])
+        for table, mark, seen in ((self.first, "", {t[0] for t in texts}), (self.later, " ", later)):
+            new = list(seen - table.keys())
             plain = [p for p in new if p and not p[-1].isspace()]
             table.update(dict.fromkeys(new))
             table.update(zip(plain, self.encode([mark + p for p in plain]), strict=True))
