@@ -52,7 +52,6 @@ def shape(text: str, linked: int) -> tuple[str, ...]:
         f"words:{size}",
         f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3}",
         f"stop:{text[-1:] in '.!?…'}",
-        f"mark:{'©' in text or '|' in text or '»' in text}",
         f"upper:{text[:1].isupper()}",
     )
 

@@ -254,21 +254,25 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
 def across(posts: DataFrame, roots: DataFrame, reps: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Pairs that share a posting but no component, may be links by their parities and collide often enough.
 
-    Both are tested within the join, so few pairs but links leave it.
+    All is tested within the join, and of the postings that a pair shares only
+    the first lets it pass, so few rows but the links leave it.
     """
     placed = posts.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("posting", "rep", F.coalesce("root", "rep").alias("root"))
     sizes = placed.groupBy("posting", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("posting").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("posting", F.col("m.root").alias("main"))
+    prefixes = posts.groupBy("rep").agg(F.collect_list("posting").alias("prefix"))  # COORDINATES at most
     # one column each: the compiled condition stays short
     thin = sets.select("rep", F.size("shingles").alias("n"), *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)])
-    mixed = written(placed.join(main, "posting"), "mixed-postings").join(reps.select("rep", "coordinates"), "rep").join(thin, "rep")
-    few = mixed.filter("root <> main").select("posting", F.col("rep").alias("few"), F.col("root").alias("few_root"), F.col("coordinates").alias("x"), F.col("n").alias("few_n"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(PARITIES)])
+    mixed = written(placed.join(main, "posting"), "mixed-postings").join(reps.select("rep", "coordinates"), "rep").join(thin, "rep").join(prefixes, "rep")
+    few = mixed.filter("root <> main").select(F.col("posting").alias("few_posting"), F.col("rep").alias("few"), F.col("root").alias("few_root"), F.col("coordinates").alias("x"), F.col("prefix").alias("few_prefix"), F.col("n").alias("few_n"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(PARITIES)])
     # of two documents outside the main component, the smaller one asks
     asks = (F.col("root") != F.col("few_root")) & ((F.col("root") == F.col("main")) | (F.col("few") < F.col("rep")))
     apart = F.expr(" + ".join(f"bit_count(p{i} ^ q{i})" for i in range(PARITIES)))
     # sets whose intersection is least[0] / least[1] of the union differ in no more shingles than this
     near = (apart * (least[1] + least[0]) <= (F.col("n") + F.col("few_n")) * (least[1] - least[0])) & (collisions(F.col("x"), F.col("coordinates")) >= MATCHES)
-    found = few.join(mixed, (few["posting"] == mixed["posting"]) & asks & near)
+    # pairs in different components share no posting that isn't mixed
+    once = F.array_min(F.array_intersect("prefix", "few_prefix")) == F.col("posting")
+    found = few.join(mixed, (F.col("few_posting") == F.col("posting")) & asks & near & once)
     return found.select(F.least("few", "rep").alias("a"), F.greatest("few", "rep").alias("b")).distinct()
 
 

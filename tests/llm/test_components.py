@@ -1,0 +1,35 @@
+import random
+
+import pytest
+
+from sparkloom.llm.components import components
+
+
+def brute(links):
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for start in sorted(near):
+        if start not in out:
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                if x not in out:
+                    out[x] = start
+                    todo += near[x]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "chain", "star", "none"])
+def test_against_a_search(spark, kind):
+    r = random.Random(4)
+    links = {
+        "random": [(a, b) for a, b in ((r.randint(0, 150), r.randint(0, 150)) for _ in range(110)) if a != b],
+        "chain": [(i, i + 1) for i in range(60)],
+        "star": [(99, i) for i in range(60)] + [(i, 99) for i in range(5)],
+        "none": [],
+    }[kind]
+    got = components(spark.createDataFrame(links + [(7, 7)] * bool(links), "a long, b long")).collect()
+    assert {g.node: g.root for g in got} == brute(links) and len(got) == len(brute(links))

@@ -1,0 +1,60 @@
+import re
+
+from sparkloom.llm.licenses import COVERED, NEAR, NOTICES, PHRASES, scan
+
+
+def brute(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places, base, labels, score = [], set(), set(), 0.0
+    for k, (phrase, label) in enumerate(PHRASES + NOTICES):
+        p = phrase.split()
+        met = {}
+        for i in range(len(w) - 1):
+            for j in range(len(p) - 1):
+                if w[i : i + 2] == p[j : j + 2]:
+                    met.setdefault(i - j, set()).add(j)
+        for d, own in met.items():
+            covered = len(set().union(*(v for e, v in met.items() if abs(e - d) <= NEAR))) / (len(p) - 1)
+            if k < len(PHRASES) and len(own) == len(p) - 1:
+                places.append(d)
+                base.add(label)
+                labels.add(label)
+                score = 1.0
+            elif len(p) >= 4:
+                score = max(score, covered)
+                if covered >= COVERED:
+                    labels.add(label)
+    for phrase, label in PHRASES:
+        p = phrase.split()
+        assert sum(w[i : i + len(p)] == p for i in range(len(w))) == sum(1 for d in places if w[d : d + len(p)] == p)
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+
+
+def check(rows, docs_of):
+    got = scan(docs_of(rows)).collect()
+    order = lambda x: tuple(str(v) for v in x)
+    assert sorted([(r.doc_id, *tuple(r)[1:]) for r in got], key=order) == sorted([(i, *brute(t)) for i, t in rows], key=order)
+    return {r.doc_id: r for r in got}
+
+
+def test_odd_rows(docs_of, odd):
+    check(odd, docs_of)
+
+
+def test_phrases(docs_of):
+    rows = list(enumerate([
+        "Released under the MIT License. MIT  license", "mit-license", "mit é license", "Émit license", "CC BY-NC 4.0", "GNU General Public License", "gnu general public gnu general public license license",
+        "the GNU Lesser General Public License", "general public license apache", "apache license " * 50, NOTICES[3][0].upper(), NOTICES[2][0].replace("free of", "quite free really of"), NOTICES[0][0][:60], "mit mit license",
+        " ".join(p for p, _ in PHRASES), "İmit license K",
+    ]))
+    got = check(rows, docs_of)
+    assert got[10].labels == "bsd" and got[10].base_labels == "" and got[11].labels == "mit" and got[9].n_base == 50
+
+
+def test_empty_table(docs_of):
+    check([], docs_of)
+
+
+def test_plan_is_native(docs_of):
+    plan = scan(docs_of([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
