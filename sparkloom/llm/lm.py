@@ -98,15 +98,30 @@ def classes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids % CLASSES, ids // CLASSES
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def scores(h: np.ndarray, matrix: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Choices x tokens, less each token's largest: in this layout maxima and sums run along memory."""
+    z = matrix.T @ h.T + bias[:, None]
+    z -= z.max(0)
+    return z
 
 
 def forward(p: Parameters, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = p["embed"][around].reshape(len(around), -1)
     h = np.tanh(x @ p["inner"] + p["inner_bias"])
-    return x, h, log_softmax(h @ p["to_class"] + p["class_bias"])
+    return x, h, scores(h, p["to_class"], p["class_bias"])
+
+
+def chosen(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Log probability of each token's choice."""
+    return z[choice, np.arange(len(choice))] - np.log(np.exp(z).sum(0))
+
+
+def slope(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Probabilities, less 1 at each token's choice; overwrites ``z``."""
+    g = np.exp(z, out=z)
+    g /= g.sum(0)
+    g[choice, np.arange(len(choice))] -= 1
+    return g
 
 
 def by_class(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -121,42 +136,39 @@ def by_class(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def log_probs(p: Parameters, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log probability of each token given the words around it."""
     c, m = classes(ids)
-    _, h, lc = forward(p, around)
-    out = lc[np.arange(len(ids)), c]
+    _, h, z = forward(p, around)
+    out = chosen(z, c)
     for k, rows in by_class(c):
-        out[rows] += log_softmax(h[rows] @ p["to_word"][k] + p["word_bias"][k])[np.arange(len(rows)), m[rows]]
+        out[rows] += chosen(scores(h[rows], p["to_word"][k], p["word_bias"][k]), m[rows])
     return out
 
 
 def step(p: Parameters, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One gradient step on a batch, in place."""
     c, m = classes(ids)
-    x, h, lc = forward(p, around)
-    g = np.exp(lc)
-    g[np.arange(len(ids)), c] -= 1
-    dh = g @ p["to_class"].T
+    x, h, z = forward(p, around)
+    g = slope(z, c)
+    dh = g.T @ p["to_class"].T
     scale = rate / len(ids)
     for k, rows in by_class(c):
         hk = h[rows]
-        gk = np.exp(log_softmax(hk @ p["to_word"][k] + p["word_bias"][k]))
-        gk[np.arange(len(rows)), m[rows]] -= 1
-        dh[rows] += gk @ p["to_word"][k].T
+        gk = slope(scores(hk, p["to_word"][k], p["word_bias"][k]), m[rows])
+        dh[rows] += gk.T @ p["to_word"][k].T
         # a class is trained by its own tokens only, so its step isn't as small as its share of a batch
         own = rate / max(len(rows), len(ids) / CLASSES)
-        p["to_word"][k] -= own * (hk.T @ gk)
-        p["word_bias"][k] -= own * gk.sum(0)
-    p["to_class"] -= scale * (h.T @ g)
-    p["class_bias"] -= scale * g.sum(0)
+        p["to_word"][k] -= own * (gk @ hk).T
+        p["word_bias"][k] -= own * gk.sum(1)
+    p["to_class"] -= scale * (g @ h).T
+    p["class_bias"] -= scale * g.sum(1)
     dz = dh * (1 - h * h)
-    dx = (dz @ p["inner"].T).reshape(-1, WIDTH)
+    dx = (p["inner"] @ dz.T).reshape(len(SIDES), WIDTH, -1)
     p["inner"] -= scale * (x.T @ dz)
     p["inner_bias"] -= scale * dz.sum(0)
-    flat_ids = around.ravel()
-    order = np.argsort(flat_ids.astype(np.int16), kind="stable")
-    seen, first = np.unique(flat_ids[order], return_index=True)
+    seen = around.T.ravel()
     # each word's mean gradient, as rare words would hardly move with the batch's
-    n = np.diff(np.append(first, len(order)))[:, None]
-    p["embed"][seen] -= (rate / np.maximum(n, 8)) * np.add.reduceat(dx[order], first, axis=0)
+    share = rate / np.maximum(np.bincount(seen, minlength=PAD + 1), 8)
+    for k in range(WIDTH):
+        p["embed"][:, k] -= share * np.bincount(seen, dx[:, k].ravel(), PAD + 1)
 
 
 def vocabulary(docs: DataFrame) -> np.ndarray:
