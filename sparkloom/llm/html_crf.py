@@ -102,9 +102,10 @@ def labelled_pages(n: int = PAGES, seed: int = 5) -> Iterator[str]:
                 body.append("<ul>" + "".join(f"<li>{MAIN}{sentence(1, 12)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
             elif k < 0.42:
                 body.append("<table><tr>" + "".join(f"<td>{MAIN}{words(1, 3)}</td>" for _ in range(r.randint(1, 5))) + "</tr></table>")
-            elif k < 0.5:
-                body.append(wrapped("ad", "aside", sentence()))
-            elif k < 0.55:
+            elif k < 0.7:  # articles are interrupted, and go on
+                kind = r.choice(["ad", "aside", "notice", "form"])
+                body.append(wrapped(kind, "aside", r.choice([sentence(), f"<p>{sentence()}</p>", paragraphs("", 2)])) + paragraphs(MAIN, 1))
+            elif k < 0.75:
                 body.append(f"<pre>{MAIN}{words(3, 30)}</pre>")
         if r.random() < 0.2:
             body.append(named("share", "div") + linklist() + "</div>")
