@@ -2,15 +2,20 @@
 
 A small network predicts every word from the two words on either side of it;
 the logarithms of these conditional probabilities, summed over a text, are its
-score. Words are the ``KNOWN`` most frequent of the whole corpus and, for all
-others, one of ``BUCKETS`` hash buckets. The output is factored: first one of
-``CLASSES`` classes of words, then a word of that class.
-
-Three passes over all documents: words are counted on the executors and summed
-by a shuffle; every partition trains the network on all its texts from the same
+score. Words of the network are the ``KNOWN`` most frequent of the whole corpus
+and, for all others, one of ``BUCKETS`` hash buckets. The output is factored:
+first one of ``CLASSES`` classes of words, then a word of that class. A word in a
+bucket adds log P(word | bucket) from its count in the whole corpus, so every
+word counts. By Witten and Bell, a bucket of N words, V of them distinct, gives
+n / (N + V) to a word seen n times and V / (N + V) to unseen words.
+
+Three passes over all documents: words are counted on the executors, summed by
+a shuffle and written as a table that grows with the corpus; every partition trains the network on all its texts from the same
 start and the parameters, weighted by their words, are averaged by a shuffle
 (one round of federated averaging a pass); every text is scored. Only the
-vocabulary and the averaged parameters, both of fixed size, come to the driver.
+vocabulary, the counts of at most ``FREQUENT`` words, the buckets' totals and the
+averaged parameters, all of bounded size, come to the driver; the counts of all
+other words are joined by a shuffle.
 
 Defined results: a null or empty text, or one of white space, has 0 tokens, a
 log probability of 0 and null means; repeated rows get equal scores; an empty
@@ -23,15 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow_text import text_slices
 from sparkloom.llm.minhash import hashes_of, word_hashes
+from sparkloom.session import written
 
 KNOWN, BUCKETS, CLASSES = 4096, 1024, 64
 MEMBERS = (KNOWN + BUCKETS) // CLASSES
 PAD = KNOWN + BUCKETS
+#: Counts of at most so many words are sent to every task; those of rarer words are joined.
+FREQUENT = 1 << 19
 SIDES = np.array([-2, -1, 1, 2])
 WIDTH, HIDDEN = 16, 24
 BATCH, RATE, ROUNDS = 8192, 1.0, 1
@@ -171,8 +180,8 @@ def step(p: Parameters, ids: np.ndarray, around: np.ndarray, rate: float) -> Non
         p["embed"][:, k] -= share * np.bincount(seen, dx[:, k].ravel(), PAD + 1)
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all texts."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word of all texts occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -193,8 +202,56 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
         if held:
             yield sums()
 
-    top = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(KNOWN)
-    return np.sort(np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64))
+    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, times: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the KNOWN most frequent words, and their counts; ``times`` tells how many words have each count."""
+    least, words = 1, 0
+    for n, size in sorted(times, reverse=True):
+        least, words = n, words + size
+        if words >= KNOWN:
+            break
+    # few more than KNOWN words are sorted, so partitions don't propose KNOWN words each
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    words, n = np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
+    order = np.argsort(words)
+    return words[order], n[order]
+
+
+def times_of(counts: DataFrame) -> list[tuple[int, int]]:
+    """(n, number of words that occur n times): about the square root of the corpus in rows."""
+    return [(r["n"], r["count"]) for r in counts.groupBy("n").count().collect()]
+
+
+def vocabulary(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the most frequent words of all texts."""
+    counts = written(word_counts(docs), "words")
+    return most_frequent(counts, times_of(counts))[0]
+
+
+def frequent(counts: DataFrame, times: list[tuple[int, int]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(least count, sorted hashes, log counts) of all words that occur at least so often, FREQUENT of them at most."""
+    least, words = 1 + max((n for n, _ in times), default=0), 0
+    for n, size in sorted(times, reverse=True):
+        words += size
+        if words > FREQUENT:
+            break
+        least = n
+    rows = counts.filter(F.col("n") >= least).toArrow()
+    h, n = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(h)
+    return least, h[order], np.log(n[order])
+
+
+def bucket_sizes(counts: DataFrame, known: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """log(N + V) of each bucket: its words and its distinct words, without the ``known`` ones that occur ``own`` times."""
+    each = counts.groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg((F.sum("n") + F.count("*")).alias("size"))
+    size = np.zeros(BUCKETS, np.int64)
+    for r in each.collect():
+        size[r["bucket"]] = r["size"]
+    np.subtract.at(size, (known % np.uint64(BUCKETS)).astype(np.int64), own + 1)
+    return np.log(np.maximum(size, 1))
 
 
 def trained(docs: DataFrame, known: np.ndarray, p: Parameters, rate: float = RATE) -> Parameters:
@@ -227,31 +284,70 @@ def trained(docs: DataFrame, known: np.ndarray, p: Parameters, rate: float = RAT
 
 
 def scored(docs: DataFrame, known: np.ndarray, p: Parameters) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob, perplexity of each text."""
-    sent = docs.sparkSession.sparkContext.broadcast((known, p))
+    """doc_id, n_tokens, log_prob, mean_log_prob, perplexity of each text by the network alone: words in a bucket are alike."""
+    each = network_scores(docs, known, p, None)
+    return finished(each)
+
+
+def finished(each: DataFrame) -> DataFrame:
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return each.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
+
+
+def network_scores(docs: DataFrame, known: np.ndarray, p: Parameters, shares: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> DataFrame:
+    """row, doc_id, n_tokens, log_prob, and the words in ``rarer`` whose log counts are still to be added.
+
+    ``shares``: sorted hashes of frequent words, their log counts, and log(N + V) of each bucket.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((known, p, shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = sent.value
+        vocabulary, model, shares = sent.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo, hi, words, cut in texts(batch):
                 ids = word_ids(words, vocabulary)
                 around = contexts(ids, cut)
                 each = np.concatenate([np.zeros(0), *(log_probs(model, ids[k : k + BATCH], around[k : k + BATCH]) for k in range(0, len(ids), BATCH))])
-                n, sums = np.diff(cut), np.diff(np.concatenate(([0.0], np.cumsum(each)))[cut])
-                some = n > 0
-                mean = sums / np.maximum(n, 1)
+                rarer, ends = np.zeros(0, np.int64), np.zeros(hi - lo + 1, np.int64)
+                if shares is not None:
+                    hashes, logs, sizes = shares
+                    at = np.flatnonzero(ids >= KNOWN)
+                    own = words[at]
+                    each[at] -= sizes[(own % np.uint64(BUCKETS)).astype(np.int64)]
+                    place = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
+                    there = hashes[place] == own if len(hashes) else np.zeros(len(own), bool)
+                    each[at[there]] += logs[place[there]]
+                    rarer = own[~there].view(np.int64)
+                    ends = np.searchsorted(at[~there], cut)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(sums), pa.array(mean, mask=~some), pa.array(np.exp(-mean), mask=~some)],
-                    names=["doc_id", "n_tokens", "log_prob", "mean_log_prob", "perplexity"],
+                    [
+                        pa.array(np.arange(row, row + hi - lo)),
+                        batch.column("doc_id").slice(lo, hi - lo),
+                        pa.array(np.diff(cut).astype(np.int64)),
+                        pa.array(np.diff(np.concatenate(([0.0], np.cumsum(each)))[cut])),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rarer)),
+                    ],
+                    names=["row", "doc_id", "n_tokens", "log_prob", "rarer"],
                 )
+                row += hi - lo
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, log_prob double, mean_log_prob double, perplexity double")
+    return docs.mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, log_prob double, rarer array<long>")
 
 
 def pseudo_likelihood(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """Train on all texts and score all texts."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known, p = vocabulary(source), start()
+    counts = written(word_counts(source), "words")
+    times = times_of(counts)
+    known, own = most_frequent(counts, times)
+    p = start()
     for _ in range(rounds):
         p = trained(source, known, p)
-    return scored(source, known, p)
+    least, hashes, logs = frequent(counts, times)
+    each = written(network_scores(source, known, p, (hashes, logs, bucket_sizes(counts, known, own))), "scores")
+    # the logarithm of a count of 1 adds nothing
+    rarer = counts.filter((F.col("n") > 1) & (F.col("n") < least))
+    words = each.select("row", F.explode("rarer").alias("word"))
+    sums = words.join(rarer, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    return finished(each.join(sums, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0))))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sparkloom.llm import lm
 from sparkloom.llm.lm import contexts, log_probs, pseudo_likelihood, scored, start, step, trained, vocabulary, word_ids
@@ -59,6 +60,25 @@ def test_partitions_are_averaged(docs_of, prose):
     assert mean(got) > mean(first)
 
 
+@pytest.mark.parametrize("sent", [0, 2, 1 << 19])
+def test_rare_words_count_by_their_own_frequency(docs_of, prose, monkeypatch, sent):
+    monkeypatch.setattr(lm, "FREQUENT", sent)
+    # four words of one bucket that occur 9, 4, 2 and 1 times, beyond 4,096 words that occur 10 times
+    found: dict[int, list[str]] = {}
+    for k in range(100_000):
+        own = found.setdefault(int(hashes_of(np.frombuffer(f"w{k}".encode(), np.uint8))[0] % np.uint64(lm.BUCKETS)), [])
+        own.append(f"w{k}")
+        if len(own) == 4:
+            break
+    rows = [(k, " ".join(f"known{i}" for i in range(lm.KNOWN))) for k in range(10)]
+    rows += [(100 + i, " ".join([w] * n)) for i, (w, n) in enumerate(zip(own, (8, 3, 1, 0), strict=True))]
+    rows += [(200 + i, f"known1 {w} known2") for i, w in enumerate(own)]
+    got = {r.doc_id: r for r in pseudo_likelihood(docs_of(rows)).collect()}
+    logs = [got[200 + i].log_prob for i in range(4)]
+    assert np.allclose(np.diff(logs), np.diff(np.log([9, 4, 2, 1])), atol=1e-3)
+    assert len(got) == len(rows) and all(abs(r.perplexity - np.exp(-r.log_prob / r.n_tokens)) < 1e-6 * r.perplexity for r in got.values() if r.n_tokens)
+
+
 def test_odd_rows(docs_of, odd):
     got = pseudo_likelihood(docs_of(odd)).collect()
     assert len(got) == len(odd)
