@@ -9,10 +9,15 @@ bucket adds log P(word | bucket) from its count in the whole corpus, so every
 word counts. By Witten and Bell, a bucket of N words, V of them distinct, gives
 n / (N + V) to a word seen n times and V / (N + V) to unseen words.
 
-Three passes over all documents: words are counted on the executors, summed by
-a shuffle and written as a table that grows with the corpus; every partition trains the network on all its texts from the same
-start and the parameters, weighted by their words, are averaged by a shuffle
-(one round of federated averaging a pass); every text is scored. Only the
+Words are counted on the executors, summed by a shuffle and written as a table
+that grows with the corpus. Then documents are dealt by a hash of id and text
+into slices, and within a slice into shards of about ``CELL`` words, whatever
+files they came from. A round of federated averaging takes one slice: every
+shard trains the network on all its texts from the same start, and the
+parameters, weighted by their words, are averaged by a shuffle. Rounds go on,
+over all slices at least once and then again, until one raises the mean log
+likelihood of a word, taken before each step, by less than ``GAIN``. As each
+round but the last gains that much, they end. At last every text is scored. Only the
 vocabulary, the counts of at most ``FREQUENT`` words, the buckets' totals and the
 averaged parameters, all of bounded size, come to the driver; the counts of all
 other words are joined by a shuffle.
@@ -24,6 +29,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +49,13 @@ PAD = KNOWN + BUCKETS
 FREQUENT = 1 << 19
 SIDES = np.array([-2, -1, 1, 2])
 WIDTH, HIDDEN = 16, 24
-BATCH, RATE, ROUNDS = 8192, 1.0, 1
+BATCH, RATE = 8192, 1.0
+#: Words of a shard in one round; shards that a corpus is dealt into first; slices, and so rounds that an epoch has, at most.
+CELL, SHARDS, SLICES = 1 << 18, 8, 16
+#: Rounds end when one gains less than so much mean log likelihood a word.
+GAIN = 0.05
+#: Pieces of the parameters that are averaged apart.
+PIECES = 64
 #: name: shape of each parameter array
 SHAPES = {
     "embed": (PAD + 1, WIDTH),
@@ -125,12 +137,15 @@ def chosen(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
     return z[choice, np.arange(len(choice))] - np.log(np.exp(z).sum(0))
 
 
-def slope(z: np.ndarray, choice: np.ndarray) -> np.ndarray:
-    """Probabilities, less 1 at each token's choice; overwrites ``z``."""
+def slope(z: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, float]:
+    """Probabilities, less 1 at each token's choice, and the choices' log likelihood; overwrites ``z``."""
+    each = np.arange(len(choice))
+    likelihood = float(z[choice, each].sum(dtype=np.float64))
     g = np.exp(z, out=z)
-    g /= g.sum(0)
-    g[choice, np.arange(len(choice))] -= 1
-    return g
+    total = g.sum(0)
+    g /= total
+    g[choice, each] -= 1
+    return g, likelihood - float(np.log(total).sum(dtype=np.float64))
 
 
 def by_class(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,16 +167,17 @@ def log_probs(p: Parameters, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     return out
 
 
-def step(p: Parameters, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
-    """One gradient step on a batch, in place."""
+def step(p: Parameters, ids: np.ndarray, around: np.ndarray, rate: float) -> float:
+    """One gradient step on a batch, in place; the batch's log likelihood before it."""
     c, m = classes(ids)
     x, h, z = forward(p, around)
-    g = slope(z, c)
+    g, likelihood = slope(z, c)
     dh = g.T @ p["to_class"].T
     scale = rate / len(ids)
     for k, rows in by_class(c):
         hk = h[rows]
-        gk = slope(scores(hk, p["to_word"][k], p["word_bias"][k]), m[rows])
+        gk, own_likelihood = slope(scores(hk, p["to_word"][k], p["word_bias"][k]), m[rows])
+        likelihood += own_likelihood
         dh[rows] += gk.T @ p["to_word"][k].T
         # a class is trained by its own tokens only, so its step isn't as small as its share of a batch
         own = rate / max(len(rows), len(ids) / CLASSES)
@@ -178,6 +194,7 @@ def step(p: Parameters, ids: np.ndarray, around: np.ndarray, rate: float) -> Non
     share = rate / np.maximum(np.bincount(seen, minlength=PAD + 1), 8)
     for k in range(WIDTH):
         p["embed"][:, k] -= share * np.bincount(seen, dx[:, k].ravel(), PAD + 1)
+    return likelihood
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -254,33 +271,84 @@ def bucket_sizes(counts: DataFrame, known: np.ndarray, own: np.ndarray) -> np.nd
     return np.log(np.maximum(size, 1))
 
 
-def trained(docs: DataFrame, known: np.ndarray, p: Parameters, rate: float = RATE) -> Parameters:
-    """One pass over all texts: each partition trains from ``p``, and the results are averaged."""
+def dealt(docs: DataFrame, words: int) -> tuple[DataFrame, int]:
+    """shard, text, slice of all documents as a written table, sorted within each shard, and the number of slices.
+
+    Where a row goes depends on its id and text only, so not on the files; rows without an id are dealt by their place.
+    """
+    slices = min(SLICES, max(1, words // (SHARDS * CELL)))
+    shards = max(min(SHARDS, max(1, words // CELL)), math.ceil(words / (slices * 2 * CELL)))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id "), F.monotonically_increasing_id().cast("string")))
+    keyed = docs.select(F.xxhash64(own, "text").alias("key"), "text")
+    placed = keyed.select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "text", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slice"))
+    sorted_rows = placed.repartition(shards, "shard").sortWithinPartitions("slice", "shard", "key")
+    return written(sorted_rows.select("shard", "text", "slice"), "shards", ("slice",)), slices
+
+
+def taught(docs: DataFrame, known: np.ndarray, p: Parameters, rate: float = RATE) -> tuple[Parameters, float]:
+    """One pass over all texts: each shard (or partition, without that column) trains from ``p``, and the results are averaged.
+
+    Also the mean log likelihood of a word, taken before the step that learns from it.
+    """
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast((known, p))  # KNOWN hashes and the parameters: fixed sizes
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, begin = sent.value
-        own, seen = {k: v.copy() for k, v in begin.items()}, 0
+        total, every, likelihood = np.zeros(len(flat(begin))), 0, 0.0
+        own, seen, shard = {k: v.copy() for k, v in begin.items()}, 0, None
         for batch in batches:
-            for _, _, words, cut in texts(batch):
-                ids = word_ids(words, vocabulary)
-                around = contexts(ids, cut)
-                mixed = np.random.default_rng(len(ids)).permutation(len(ids))
-                for lo in range(0, len(ids), BATCH):
-                    some = mixed[lo : lo + BATCH]
-                    step(own, ids[some], around[some], rate)
-                seen += len(ids)
-        if seen:
-            yield pa.record_batch({"weight": [float(seen)], "values": pa.array([flat(own)], pa.list_(pa.float32()))})
-
-    each = docs.select("text").mapInArrow(learn, "weight double, values array<float>").select("weight", F.posexplode("values").alias("place", "value"))
-    mean = each.groupBy("place").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).cast("float").alias("value")).toArrow()
-    if not mean.num_rows:
-        return p
-    out = np.empty(mean.num_rows, np.float32)
-    out[mean.column("place").to_numpy()] = mean.column("value").to_numpy()
-    return unflat(out)
+            shards = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                if first == end:
+                    continue
+                if shard is not None and shards[first] != shard:
+                    total, every = total + seen * flat(own), every + seen
+                    own, seen = {k: v.copy() for k, v in begin.items()}, 0
+                shard = shards[first]
+                for _, _, words, cut in texts(batch.slice(first, end - first)):
+                    ids = word_ids(words, vocabulary)
+                    around = contexts(ids, cut)
+                    mixed = np.random.default_rng(len(ids)).permutation(len(ids))
+                    for lo in range(0, len(ids), BATCH):
+                        some = mixed[lo : lo + BATCH]
+                        likelihood += step(own, ids[some], around[some], rate)
+                    seen += len(ids)
+        total, every = total + seen * flat(own), every + seen
+        if every:
+            parts = np.array_split(total, PIECES)
+            yield pa.record_batch({"piece": pa.array(range(PIECES), pa.int32()), "weight": [float(every)] * PIECES, "likelihood": [likelihood] * PIECES, "total": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def sums(found: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py()) for x in found.column("total")], 0)
+        weight, likelihood = (sum(found.column(c).to_pylist()) for c in ("weight", "likelihood"))
+        return pa.table({"piece": found.column("piece")[:1], "likelihood": [likelihood / weight], "mean": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
+
+    rows = docs if "shard" in docs.columns else docs.withColumn("shard", F.lit(0).cast("long"))
+    each = rows.select("shard", "text").mapInArrow(learn, "piece int, weight double, likelihood double, total binary")
+    mean = each.groupBy("piece").applyInArrow(sums, "piece int, likelihood double, mean binary").collect()
+    sent.unpersist()
+    if not mean:
+        return p, 0.0
+    return unflat(np.concatenate([np.frombuffer(r["mean"], np.float32) for r in sorted(mean, key=lambda r: r["piece"])])), mean[0]["likelihood"]
+
+
+def trained(docs: DataFrame, known: np.ndarray, p: Parameters, rate: float = RATE) -> Parameters:
+    """The averaged parameters of one pass over all texts."""
+    return taught(docs, known, p, rate)[0]
+
+
+def converged(docs: DataFrame, known: np.ndarray, words: int, gain: float = GAIN) -> tuple[Parameters, list[float]]:
+    """Parameters after rounds over all texts until one gains less than ``gain``, and the mean log likelihood of each round."""
+    p, found = start(), []
+    if not words:
+        return p, found
+    rows, slices = dealt(docs, words)
+    while len(found) < max(2, slices) or found[-1] - found[-2] >= gain:
+        p, likelihood = taught(rows.filter(F.col("slice") == len(found) % slices), known, p)
+        found.append(likelihood)
+    return p, found
 
 
 def scored(docs: DataFrame, known: np.ndarray, p: Parameters) -> DataFrame:
@@ -335,15 +403,13 @@ def network_scores(docs: DataFrame, known: np.ndarray, p: Parameters, shares: tu
     return docs.mapInArrow(run, f"row long, doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, log_prob double, rarer array<long>")
 
 
-def pseudo_likelihood(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", gain: float = GAIN) -> DataFrame:
     """Train on all texts and score all texts."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counts = written(word_counts(source), "words")
     times = times_of(counts)
     known, own = most_frequent(counts, times)
-    p = start()
-    for _ in range(rounds):
-        p = trained(source, known, p)
+    p, _ = converged(source, known, sum(n * size for n, size in times), gain)
     least, hashes, logs = frequent(counts, times)
     each = written(network_scores(source, known, p, (hashes, logs, bucket_sizes(counts, known, own))), "scores")
     # the logarithm of a count of 1 adds nothing

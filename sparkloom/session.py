@@ -48,15 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back; its last columns ``by`` are folders.
 
     Cuts the lineage: what reads the result survives the loss of any executor
     without computing ``df`` again, and reads it as often as it likes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -79,6 +79,23 @@ def test_rare_words_count_by_their_own_frequency(docs_of, prose, monkeypatch, se
     assert len(got) == len(rows) and all(abs(r.perplexity - np.exp(-r.log_prob / r.n_tokens)) < 1e-6 * r.perplexity for r in got.values() if r.n_tokens)
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    few, many = ({r.doc_id: r.mean_log_prob for r in pseudo_likelihood(docs.repartition(n)).collect()} for n in (3, 300))
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 0.02 for k in few)
+
+
+def test_rounds_follow_from_convergence(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CELL", 2000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    known, words = vocabulary(docs), 50_000
+    rows, slices = lm.dealt(docs, words)
+    assert slices == 3 and sorted(r.text for r in rows.collect()) == sorted(r.text for r in docs.collect())
+    p, found = lm.converged(docs, known, words, 0.05)
+    assert len(found) > slices and found[-1] - found[-2] < 0.05 and found[-1] > found[0] + 0.2
+    assert all(np.isfinite(x).all() for x in p.values())
+
+
 def test_odd_rows(docs_of, odd):
     got = pseudo_likelihood(docs_of(odd)).collect()
     assert len(got) == len(odd)
