@@ -7,8 +7,8 @@ fit. Decoding weighs each bit's logistic loss by that bit's accuracy, takes the
 codeword with the least loss, and flags a text as ambiguous when the nearest
 two lie close.
 
-Training reads a bounded sample: about ``SAMPLE`` labelled texts of each
-language, chosen by a hash. Their n-gram counts are made on the executors;
+Training reads a bounded sample: about ``SAMPLE`` distinct labelled texts of each
+language, or all if there are fewer, chosen by a hash. Their n-gram counts are made on the executors;
 only those counts, of a fixed length each, come to the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.arrow_text import text_slices
 
 UNDETERMINED = "und"
-#: About so many labelled texts of each language are learned from.
+#: About so many distinct labelled texts of each language are learned from.
 SAMPLE = 1000
 #: Byte pairs have an entry each; byte triples are hashed to as many.
 SIZE = 1 << 16
@@ -112,7 +112,8 @@ def held_out(doc_id: Column) -> Column:
 def sample_shares(docs: DataFrame, text: str, label: str, sample: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, entries, shares) of the texts that are learned from."""
     usable = docs.select(F.col(label).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and length(text) > 0")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    # distinct texts, as copies are chosen together and learned from once
+    sizes = {r["lang"]: max(1, r["n"]) for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return []
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])

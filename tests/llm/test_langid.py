@@ -70,6 +70,15 @@ def test_few_languages(docs_of):
     assert train(docs_of([])) is None and with_language(docs_of([]), None).count() == 0 and fit([]) is None
 
 
+def test_language_of_few_texts_in_many_copies(spark, prose):
+    few = [(prose(k, 20), "de") for k in range(5)]
+    rows = spark.createDataFrame([(prose(100 + k, 20), "en") for k in range(60)] + few, "text string, lang string")
+    copies = rows.withColumn("times", F.when(F.col("lang") == "de", 5000).otherwise(1))
+    docs = copies.select(F.explode(F.sequence(F.lit(1), "times")).alias("doc_id"), "text", "lang")
+    shares = langid.sample_shares(docs, "text", "lang", 20)
+    assert sum(x[0] == "de" for x in shares) == 5 and 5 <= sum(x[0] == "en" for x in shares) <= 40
+
+
 def test_rows_that_stay(docs_of, prose):
     rows = [(i, prose(i), "en" if i % 2 else "de") for i in range(30)] + [(99, "123 !!"), (98, None), (97, "ü")]
     left = drop_rejected(docs_of(rows))
