@@ -37,6 +37,8 @@ SAMPLE = 1000
 SIZE = 1 << 16
 #: A text whose best language has less probability than this is ambiguous.
 CLEAR = 0.6
+#: A decoding is unreliable above so many times the largest loss of clean labelled texts; shorter texts (in bytes) give too little evidence for that.
+MARGIN, SHORT = 1.5, 24
 CHUNK = 1 << 20
 
 
@@ -80,11 +82,15 @@ class Model:
     shift: np.ndarray
     trust: np.ndarray
 
-    def probabilities(self, odds: np.ndarray) -> np.ndarray:
+    def losses(self, odds: np.ndarray) -> np.ndarray:
         """Texts x languages, from texts x bits of averaged log odds."""
         f = odds * self.scale + self.shift
         loss = np.logaddexp(0.0, -f[:, None, :] * self.code[None])
-        total = (loss * self.trust).sum(2)
+        return (loss * self.trust).sum(2)
+
+    def probabilities(self, odds: np.ndarray) -> np.ndarray:
+        """Texts x languages, from texts x bits of averaged log odds."""
+        total = self.losses(odds)
         p = np.exp(total.min(1, keepdims=True) - total)
         return p / p.sum(1, keepdims=True)
 
@@ -175,6 +181,32 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3)
     return a, c
 
 
+def loss_limit(shares: list[tuple[str, np.ndarray, np.ndarray]]) -> float:
+    """The loss above which a decoding is unreliable.
+
+    Each half of the labelled texts is decoded by what the other half teaches. Those
+    decoded right and clearly are clean; the limit is MARGIN times their largest loss.
+    Without any, or with fewer than two languages, there is no limit.
+    """
+    halves: list[list] = [[], []]
+    for name in {x[0] for x in shares}:
+        own = [x for x in shares if x[0] == name]
+        for k, x in enumerate(own):
+            halves[k % 2].append(x)
+        if len(own) == 1:
+            halves[1].append(own[0])
+    largest = -math.inf
+    for taught, asked in (halves, halves[::-1]):
+        model = fit(sorted(taught, key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes())))
+        if model is None or len(model.languages) < 2:
+            return math.inf
+        odds = np.array([model.weights[e].T @ s for _, e, s in asked])
+        truth, p, loss = np.array([model.languages.index(x[0]) for x in asked]), model.probabilities(odds), model.losses(odds).min(1)
+        clean = (p.argmax(1) == truth) & (p.max(1) >= CLEAR)
+        largest = max(largest, loss[clean].max(initial=-math.inf))
+    return MARGIN * largest if largest > 0 else math.inf
+
+
 def train(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model | None:
     return fit(sample_shares(docs, text, label, sample))
 
@@ -199,8 +231,8 @@ def log_odds(weights: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarra
     return total / np.maximum(1, size)[:, None]
 
 
-def with_language(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
-    """``docs`` with the predicted language, its probability and the flag of ambiguity."""
+def with_language(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous"), limit: float = math.inf) -> DataFrame:
+    """``docs`` with the predicted language, its probability and the flag of ambiguity. Decodings with a loss above ``limit`` are ``und``."""
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if model is None or len(model.languages) < 2:
         only = model.languages[0] if model else UNDETERMINED
@@ -218,8 +250,10 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", name
         for batch in batches:
             has = batch.column("__has_letter").to_numpy(zero_copy_only=False)
             for lo, hi, data, at in text_slices(batch, text):
-                p = m.probabilities(log_odds(m.weights, data, at))
-                best, score = np.where(has[lo:hi], p.argmax(1), -1), np.where(has[lo:hi], p.max(1), 0.0)
+                odds = log_odds(m.weights, data, at)
+                p = m.probabilities(odds)
+                told = has[lo:hi] & ((m.losses(odds).min(1) <= limit) | (np.diff(at) < SHORT))
+                best, score = np.where(told, p.argmax(1), -1), np.where(told, p.max(1), 0.0)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in kept], pa.array(labels[best], pa.string()), pa.array(score, pa.float64()), pa.array(score < CLEAR)], names=[*kept, *ends]
@@ -229,7 +263,15 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", name
 
 
 def drop_rejected(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """Documents whose language can be told, all columns as they were. Rejected are those without any letter."""
+    """Documents whose language can be told, all columns as they were.
+
+    Rejected are those without any letter, and those of ``SHORT`` bytes or more whose
+    decoding is unreliable (see ``loss_limit``). Where fewer than two languages can
+    be learned, every document with a letter stays.
+    """
     names = ("__lang_pred", "__lang_score", "__lang_ambiguous")
-    model = train(docs.filter(~held_out(F.col(doc_id))), text, label)
-    return with_language(docs, model, text, names).filter(F.col(names[0]) != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    shares = sample_shares(docs.filter(~held_out(F.col(doc_id))), text, label, SAMPLE)
+    model = fit(shares)
+    if model is None:
+        return docs.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    return with_language(docs, model, text, names, loss_limit(shares)).filter(F.col(names[0]) != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -84,3 +84,16 @@ def test_rows_that_stay(docs_of, prose):
     left = drop_rejected(docs_of(rows))
     assert left.columns == docs_of(rows).columns
     assert sorted(r.doc_id for r in left.collect()) == [*range(30), 97]
+
+
+def test_noise_is_rejected_and_clean_texts_stay(spark):
+    clean = spark.read.parquet(DATA).select("doc_id", "text", "lang")
+    noise = ["1 " * 200 + "q" + " 7" * 200, "#$%^ &*() " * 50 + "z", "4f0a9 77b1e " * 30, "zxqv wkjp qqzt vvxk " * 20]
+    planted = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(noise)], clean.schema)
+    got = {r.doc_id for r in drop_rejected(clean.unionByName(planted)).collect()}
+    assert got == {r.doc_id for r in clean.filter("text rlike '\\\\p{L}'").collect()}
+
+
+def test_without_labels_documents_with_letters_stay(docs_of, prose):
+    rows = [(i, prose(i)) for i in range(5)] + [(9, "123 !!"), (8, None)]
+    assert sorted(r.doc_id for r in drop_rejected(docs_of(rows)).collect()) == [*range(5)]
