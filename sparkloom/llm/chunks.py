@@ -10,33 +10,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+#: Longer pieces (in characters) hardly repeat, as where a script has no spaces: they aren't kept.
+LONGEST = 64
+#: What an entry takes beside its piece and its encoding, about, in bytes.
+ENTRY = 200
+
 
 class Memo(dict):
-    """Makes what is asked for and missing; nothing for a piece that doesn't end a run."""
+    """Makes what is asked for and missing; nothing for a piece that doesn't end a run. ``size``: bytes held, about."""
 
     def __init__(self, mark: str, one: Callable[[str], bytes] | None):
-        self.mark, self.one = mark, one
+        self.mark, self.one, self.size = mark, one, 0
 
     def __missing__(self, piece: str) -> bytes | None:
-        self[piece] = made = self.one(self.mark + piece) if piece and not piece[-1].isspace() else None
+        made = self.one(self.mark + piece) if piece and not piece[-1].isspace() else None
+        if len(piece) <= LONGEST:
+            self.put(piece, made)
         return made
 
+    def put(self, piece: str, made: bytes | None) -> None:
+        self[piece] = made
+        self.size += ENTRY + 4 * len(piece) + len(made or b"")
+
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
 
 class PieceTable:
     """Encodings of pieces, as bytes that can be joined.
 
     ``encode`` takes a list of pieces and gives a list of bytes; ``one``, if
     given, encodes a single piece where that is as fast. The table is emptied
-    when it holds ``most`` pieces, so its memory is bounded.
+    when it holds more than about ``most`` bytes, so beyond the texts of one
+    call its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 500_000, one: Callable[[str], bytes] | None = None):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 64 << 20, one: Callable[[str], bytes] | None = None):
         self.encode, self.most, self.one = encode, most, one
         self.first, self.later = Memo("", one), Memo(" ", one)
 
     def learn(self, texts: list[list[str]]) -> None:
         """Add what is missing of texts split at single spaces. A piece that doesn't end a run gets None."""
-        if len(self.first) + len(self.later) > self.most:
+        if self.first.size + self.later.size > self.most:
             self.first.clear()
             self.later.clear()
         if self.one is not None:
@@ -47,8 +63,9 @@ class PieceTable:
         for table, mark, seen in ((self.first, "", {t[0] for t in texts}), (self.later, " ", later)):
             new = list(seen - table.keys())
             plain = [p for p in new if p and not p[-1].isspace()]
-            table.update(dict.fromkeys(new))
-            table.update(zip(plain, self.encode([mark + p for p in plain]), strict=True))
+            made = dict(zip(plain, self.encode([mark + p for p in plain]), strict=True))
+            for p in new:
+                table.put(p, made.get(p))
 
     def joined(self, texts: list[str]) -> list[bytes]:
         """The encoding of each text."""

@@ -17,7 +17,8 @@ a power of two, which need no padding, are considered too.
 Nothing is shuffled: a lost task packs its own partition again, with the same
 result. Sequence ids count up within a partition from partition * 2**33.
 
-Defined results: a null text counts as empty and has only the end token;
+Defined results: a null text counts as empty and has only the end token; the
+string of a special token in a text becomes that token, as in ``tokenizers``;
 repeated rows are packed each; an empty table gives no pieces; other columns
 are not read.
 """
@@ -54,47 +55,64 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@cache
-def tokenizer(path: str) -> tuple[PieceTable, np.ndarray, np.ndarray]:
-    """Piece table of a byte-level tokenizer file; ids after which a sentence may end; ids that begin with white space.
+class Encoder:
+    """Ids of a byte-level tokenizer file, as ``tokenizers`` gives them with add_special_tokens=False.
 
     Where the file's merges come in the order of their ids, they are carried out
-    by ``tiktoken``, which gives the ids that ``tokenizers`` gives (the tests
-    compare them) in a tenth of the time; else by ``tokenizers``.
-    """
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    names = t.get_vocab(with_added_tokens=False)
-    ends, spaces = np.zeros(max(names.values()) + 1, bool), np.zeros(max(names.values()) + 1, bool)
-    for name, i in names.items():
-        # in byte-level names these two letters stand for a space and a line feed
-        ends[i], spaces[i] = name[-1:] in ".!?" or "Ċ" in name, name[:1] in "ĠĊ"
-
-    with open(path, encoding="utf-8") as f:
-        kept = json.load(f)
-    merges = [m if isinstance(m, list) else m.split(" ") for m in kept["model"]["merges"]]
-    order, letters = [names["".join(m)] for m in merges], byte_letters()
-    if order == sorted(order) and kept.get("normalizer") is None and all(set(n) <= letters.keys() for n in names if n not in t.get_added_tokens_decoder().values()):
-        special = {str(v) for v in t.get_added_tokens_decoder().values()}
-        ranks = {bytes(letters[c] for c in n): i for n, i in names.items() if n not in special and set(n) <= letters.keys()}
-        fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    by ``tiktoken``, which gives the same ids (the tests compare them) in a tenth
+    of the time; else by ``tokenizers``. So are texts that hold the string of a
+    special token, which becomes that token.
 
-        def one(piece: str) -> bytes:
-            found = fast.encode_ordinary(piece)
-            return struct.pack(f"<{len(found)}I", *found)
+    ``ends``: ids after which a sentence may end; ``spaces``: ids that begin with white space.
+    """
 
-        table = PieceTable(lambda pieces: list(map(one, pieces)), one=one)
-    else:
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.special = [v.content for v in t.get_added_tokens_decoder().values()]
+        names = t.get_vocab(with_added_tokens=False)
+        most = max([*names.values(), *t.get_added_tokens_decoder()])
+        self.ends, self.spaces = np.zeros(most + 1, bool), np.zeros(most + 1, bool)
+        for name, i in names.items():
+            # in byte-level names these two letters stand for a space and a line feed
+            self.ends[i], self.spaces[i] = name[-1:] in ".!?" or "Ċ" in name, name[:1] in "ĠĊ"
+
+        with open(path, encoding="utf-8") as f:
+            kept = json.load(f)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in kept["model"]["merges"]]
+        order, letters = [names["".join(m)] for m in merges], byte_letters()
+        plain = {n: i for n, i in names.items() if n not in self.special}
+        if order == sorted(order) and kept.get("normalizer") is None and all(set(n) <= letters.keys() for n in plain):
+            ranks = {bytes(letters[c] for c in n): i for n, i in plain.items()}
+            fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+            def one(piece: str) -> bytes:
+                found = fast.encode_ordinary(piece)
+                return struct.pack(f"<{len(found)}I", *found)
+
+            self.table = PieceTable(lambda pieces: list(map(one, pieces)), one=one)
+        else:
+            self.table = PieceTable(self.whole)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """By ``tokenizers``, each text as it is."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each, little-endian."""
+        out = self.table.joined(texts)
+        marked = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        for k, ids in zip(marked, self.whole([texts[k] for k in marked]), strict=True):
+            out[k] = ids
+        return out
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
 
-        table = PieceTable(encode)
-    return table, ends, spaces
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cuts(places: list[int], costs: list[float], window: int = WINDOW, even_from: int | None = None) -> list[int]:
@@ -206,8 +224,8 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
     fields = {"start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "sequence_id": "long", "offset": "long"} | ({"ids": "array<int>"} if with_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, ends, spaces = tokenizer(path)
-        stream, key = Stream(ends, spaces, TaskContext.get().partitionId() << 33, window), pa.int64()
+        encode = encoder(path)
+        stream, key = Stream(encode.ends, encode.spaces, TaskContext.get().partitionId() << 33, window), pa.int64()
 
         def arrow(out: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(out["doc_id"], key), *[out[c] if c == "ids" else pa.array(out[c], pa.int64()) for c in fields]], names=["doc_id", *fields])
@@ -217,7 +235,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id",
             for lo, hi, data, at in text_slices(batch, "text"):
                 raw = data.tobytes()
                 texts = [raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                for k, got in zip(keys[lo:hi], table.joined(texts), strict=True):
+                for k, got in zip(keys[lo:hi], encode(texts), strict=True):
                     for out in stream.add(k, np.append(np.frombuffer(got, "<u4"), np.uint32(END_ID))):
                         yield arrow(out)
         if stream.size:

@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 
 from sparkloom.llm.bpe import Codec, decoded, digests, encoded
-from sparkloom.llm.chunks import whole_pieces
+from sparkloom.llm.chunks import PieceTable, whole_pieces
 from tests.llm.conftest import ODD
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,7 +46,7 @@ def test_table_stays_bounded(codec, library):
     codec.table.most = 50
     for _ in range(2):
         assert [x.tolist() for x in codec.encode(texts())] == [library.encode_ordinary(t) for t in texts()]
-    codec.table.most = 500_000
+    codec.table.most = 64 << 20
 
 
 def test_dataframes(docs_of, odd, library):
@@ -61,3 +61,16 @@ def test_dataframes(docs_of, odd, library):
         assert got[k].decoded_sha256 == sha((t or "").encode())
         assert back[k] == (t or "").encode()
     assert digests(docs_of([]), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_pieces_are_not_kept():
+    made = []
+    t = PieceTable(lambda p: [x.encode() for x in p], most=10_000, one=lambda p: made.append(p) or p.encode())
+    long = "日本語" * 1000
+    for _ in range(3):
+        assert t.joined([long + " a b " + long]) == [(long + " a b " + long).encode()]
+    assert made.count(" a") == 1 and t.first.size + t.later.size < 10_000
+    t.joined([" ".join(f"w{k}" for k in range(100))])
+    assert t.later.size > 10_000
+    t.joined(["x"])
+    assert t.first.size + t.later.size < 500

@@ -46,7 +46,6 @@ def test_cheapest_cuts(even):
 
 def check(df, rows, window=2048):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     want = {k: [*e.ids, 1] for (k, _), e in zip(rows, t.encode_batch([x or "" for _, x in rows], add_special_tokens=False), strict=True)}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in pack(df, PATH, window=window).collect():
@@ -74,6 +73,11 @@ def test_odd_rows(docs_of, odd):
     assert pack(docs_of([]), PATH).count() == 0
 
 
+def test_special_strings_in_texts_become_their_token(docs_of):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|> y  "), (4, "<|endoftext| > <|endoftext")]
+    check(docs_of(rows), rows)
+
+
 def test_blocks_are_joined_and_padding_is_small(docs_of, prose, monkeypatch):
     rows = [(i, ". ".join(prose(i * 100 + k, 12) for k in range(i % 30 + 1)) + ".\nend") for i in range(200)]
     _, padding = check(docs_of(rows, 1), rows)
@@ -85,10 +89,10 @@ def test_small_blocks(docs_of, prose):
     before = packing.BLOCK, packing.CARRIED
     packing.BLOCK, packing.CARRIED = 1 << 12, 256
     try:
-        s = packing.Stream(*packing.tokenizer(PATH)[1:], 0, 64)
-        table, out = packing.tokenizer(PATH)[0], []
+        encode, out = packing.encoder(PATH), []
+        s = packing.Stream(encode.ends, encode.spaces, 0, 64)
         for k, t in stream_rows:
-            for o in s.add(k, np.append(np.frombuffer(table.joined([t])[0], "<u4"), np.uint32(1))):
+            for o in s.add(k, np.append(np.frombuffer(encode([t])[0], "<u4"), np.uint32(1))):
                 out.append(o)
         out.append(s.settle(True))
     finally:
@@ -103,6 +107,6 @@ def test_small_blocks(docs_of, prose):
         for start, n in sorted(got[k]):
             assert start == at
             at += n
-        assert at == len(table.joined([t])[0]) // 4 + 1
+        assert at == len(encode([t])[0]) // 4 + 1
     ids = [s for o in out for s in o["sequence_id"].tolist()]
     assert sorted(set(ids)) == list(range(max(ids) + 1))
