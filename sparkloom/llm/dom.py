@@ -1,9 +1,17 @@
-"""Leaf blocks of HTML pages, with the features that tell main text from the rest."""
+"""Leaf blocks of HTML pages, with the features that tell main text from the rest.
+
+A page is read once from front to back, in time that grows with its length
+whatever its markup: open elements are kept with the places of each tag name,
+and the features of all ancestors are carried along with each open element.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
+from collections.abc import Container
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -13,16 +21,23 @@ BLOCKS = frozenset(
     " header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul button textarea".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object svg math canvas audio video".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math".split())
+HIDDEN = frozenset("head title script style template annotation annotation-xml".split())
+#: Elements that hold no elements; an unclosed one of the second set ends at the next block.
+RAW = frozenset("script style title textarea".split())
+SHORT_RAW = frozenset("title textarea".split())
+#: Elements whose content most readers see only in place of something else.
+INSTEAD = frozenset("noscript iframe object video audio canvas svg".split())
 #: A new element of the key ends an open one of the values, unless an element of the last set stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}, "tbody": {"td", "th", "tr", "thead", "tbody"}, "tfoot": {"td", "th", "tr", "thead", "tbody"}}
 FENCES = frozenset("ul ol menu table dl select body article section div main aside nav form".split())
+SECTIONS = frozenset("article main nav header footer aside form section div body".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/><]*)|[!?/])")
+_STOP = re.compile(r"""=\s*["']|>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-SECTIONS = frozenset("article main nav header footer aside form section div body".split())
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS - SHORT_RAW))})(?=[\s/>])", re.I)
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
 class Block(NamedTuple):
@@ -30,18 +45,14 @@ class Block(NamedTuple):
     features: tuple[str, ...]
 
 
-@lru_cache(4096)
 def tokens(attributes: str) -> tuple[str, ...]:
     """Words of an element's class, id and role."""
-    return tuple(sorted({t for m in _NAMES.findall(attributes) for t in _TOKEN.findall(m.lower())}))
+    return _tokens(attributes) if len(attributes) < 300 else _tokens.__wrapped__(attributes)
 
 
-@lru_cache(8192)
-def place(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str, ...]:
-    """Features of where a block stands: its tag, its nearest section, all tags and names above it."""
-    tags = [t for t, _ in path]
-    nearest = next((t for t in reversed(tags) if t in SECTIONS), "none")
-    return (f"tag:{tags[-1] if tags else 'none'}", f"section:{nearest}", *sorted({f"in:{t}" for t in tags if t in BLOCKS} | {f"name:{n}" for _, names in path for n in names}))
+@lru_cache(4096)
+def _tokens(attributes: str) -> tuple[str, ...]:
+    return tuple(sorted({t for m in _NAMES.findall(attributes) for t in _TOKEN.findall(m.lower())}))
 
 
 def shape(text: str, linked: int) -> tuple[str, ...]:
@@ -56,69 +67,161 @@ def shape(text: str, linked: int) -> tuple[str, ...]:
     )
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in page order. Hidden elements give none; unclosed and stray tags do no harm."""
+class Ends:
+    """Where the tags of a page end. A quoted value may hold ``>``; a quote that is never closed is an ordinary character."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in "\"'>"}
+        self.quotes = True
+
+    def of(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag read up to ``at``, or -1."""
+        if at > self.last[">"]:
+            return -1
+        begin = at
+        while self.quotes:
+            m = _STOP.search(self.page, at)
+            if m is None:  # all that is left stands in quotes: from here on quotes mean nothing
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                at = m.end()
+                if at <= self.last[m[0][-1]]:
+                    at = self.page.index(m[0][-1], at) + 1
+        return self.page.find(">", begin)
+
+
+class Path:
+    """The open elements. Of each: its tag, its features, those of it and all above it, and its nearest section."""
+
+    def __init__(self, known: Container[str] | None):
+        self.known = known
+        self.open: list[tuple[str, tuple[str, ...], tuple[str, ...], str]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.fences: list[int] = []
+        self.held: Counter[str] = Counter()
+        self.links = self.hidden = 0
+
+    def push(self, tag: str, attributes: str) -> None:
+        own = [f"in:{tag}"] if tag in BLOCKS or tag in INSTEAD else []
+        own += [f"name:{n}" for n in tokens(attributes)] if attributes else []
+        if self.known is not None:
+            own = [f for f in own if f in self.known]
+        _, _, above, section = self.open[-1] if self.open else ("", (), (), "none")
+        new = tuple(f for f in own if not self.held[f])
+        self.held.update(own)
+        at = len(self.open)
+        self.open.append((tag, tuple(own), above + new if new else above, tag if tag in SECTIONS else section))
+        self.places[tag].append(at)
+        if tag in BLOCKS:
+            self.blocks.append(at)
+        if tag in FENCES:
+            self.fences.append(at)
+        self.links += tag == "a"
+        self.hidden += tag in HIDDEN
+
+    def cut(self, at: int) -> None:
+        """Close all elements from this place on."""
+        while len(self.open) > at:
+            tag, own, _, _ = self.open.pop()
+            self.places[tag].pop()
+            self.held.subtract(own)
+            self.links -= tag == "a"
+            self.hidden -= tag in HIDDEN
+        for marks in (self.blocks, self.fences):
+            while marks and marks[-1] >= at:
+                marks.pop()
+
+    def close(self, tag: str) -> None:
+        """A closing tag; one that closes nothing does nothing. Only those of blocks close beyond a block."""
+        if (places := self.places[tag]) and (tag in BLOCKS or not self.blocks or places[-1] > self.blocks[-1]):
+            self.cut(places[-1])
+
+    def make_room(self, tag: str) -> None:
+        """Close what a new block ends without a closing tag."""
+        fence = self.fences[-1] if self.fences else -1
+        ended = [p[bisect_right(p, fence)] for t in ("p", *ENDS.get(tag, ())) if (p := self.places[t]) and p[-1] > fence]
+        if ended:
+            self.cut(min(ended))
+
+    def features(self) -> tuple[str, ...]:
+        if not self.open:
+            return ("tag:none", "section:none")
+        tag, _, above, section = self.open[-1]
+        return (f"tag:{tag}", f"section:{section}", *above)
+
+
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in page order. Hidden elements give none; unclosed and stray tags do no harm.
+
+    ``known``: of ancestors' features only these are carried, which bounds them however deep a page is.
+    """
     out: list[Block] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
+    path, ends = Path(known), Ends(page)
+    never_closed: set[str] = set()
     parts: list[str] = []
-    linked, links, at, hidden = 0, 0, 0, 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append(Block(text, place(tuple(path)) + shape(text, linked)))
+            if text := " ".join("".join(parts).split()):
+                out.append(Block(text, path.features() + shape(text, linked)))
             parts.clear()
         linked = 0
 
-    def close(i: int) -> None:
-        nonlocal links, hidden
-        for t, _ in path[i:]:
-            links -= t == "a"
-            hidden -= t in HIDDEN
-        del path[i:]
-
     def add(text: str) -> None:
+        """A text node: its references are decoded before it is joined to others."""
         nonlocal linked
-        if text and not hidden:
-            parts.append(text)
-            if links:
+        if text and not path.hidden:
+            parts.append(html.unescape(text) if "&" in text else text)
+            if path.links:
                 linked += len(text.strip())
 
-    while m := _TAG.search(page, at):
+    look = 0
+    while m := _OPEN.search(page, look):
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 2
+        else:
+            end = ends.of(m.end())
+            if end < 0:  # no tag ends any more: what is left is text
+                look = page.find("<!--", m.end())
+                if look < 0:
+                    break
+                continue
         add(page[at : m.start()])
-        at = m.end()
+        at = look = end + 1
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), page[m.end() : end]
         if tag == "br":
             add(" ")
             continue
         if tag in BLOCKS:
             flush()
         if m[1]:
-            i = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == tag or (tag not in BLOCKS and path[i][0] in BLOCKS)), -1)
-            if i >= 0 and path[i][0] == tag:
-                close(i)
+            path.close(tag)
             continue
         if tag in BLOCKS:
-            for i in range(len(path) - 1, -1, -1):
-                if path[i][0] == "p" or path[i][0] in ENDS.get(tag, ()):
-                    close(i)
-                elif path[i][0] in FENCES:
-                    break
-        if tag == "body":  # a head that was never closed
-            close(next((i for i, (t, _) in enumerate(path) if t in HIDDEN), len(path)))
-        if tag in EMPTY or m[3].endswith("/"):
+            path.make_room(tag)
+        if tag == "body" and path.hidden:  # a head that was never closed
+            path.cut(min(p[0] for t in HIDDEN if (p := path.places[t])))
+        if tag in EMPTY or attributes.endswith("/"):
             continue
-        path.append((tag, tokens(m[3]) if m[3] else ()))
-        links += tag == "a"
-        hidden += tag in HIDDEN
+        path.push(tag, attributes)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            if tag not in HIDDEN:
-                add(page[at : end.start() if end else len(page)])
-            at = end.start() if end else len(page)
+            found = None if tag in never_closed else _CLOSE[tag].search(page, at)
+            if found is None:
+                never_closed.add(tag)
+                found = _BLOCK_TAG.search(page, at) if tag in SHORT_RAW else None
+            look = found.start() if found else len(page)
+            add(page[at:look])
+            at = look
+            if tag in never_closed:
+                path.cut(len(path.open) - 1)
     add(page[at:])
     flush()
     return out

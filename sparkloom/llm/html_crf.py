@@ -20,6 +20,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,16 @@ def labelled_pages(n: int = PAGES, seed: int = 5) -> Iterator[str]:
         yield "<html><head><title>x</title></head><body>" + "".join(b for b in before if r.random() < 0.5) + own[0] + inner + own[1] + "".join(a for a in after if r.random() < 0.5) + "</body></html>"
 
 
+def pages_with_stand_ins(n: int, seed: int) -> Iterator[str]:
+    """Labelled pages with elements that most readers see only in place of something else; these aren't main."""
+    r = random.Random(seed)
+    for page in labelled_pages(n, seed):
+        said = "".join(r.choice("aeioulnrstd ") for _ in range(r.randint(10, 90)))
+        page = page.replace("<body>", f"<body><noscript><{(t := r.choice(['p', 'div']))}>{said}.</{t}></noscript>", r.random() < 0.7)
+        tag = r.choice(["video", "audio", "object", "iframe", "canvas", "noscript"])
+        yield page.replace("</p>", f"</p><{tag}><p>{said}</p></{tag}>", r.random() < 0.7)
+
+
 class Field:
     """weight: of a feature for the label main; step: label x next label; first: of a page's first label."""
 
@@ -164,27 +175,35 @@ class Field:
         return out[::-1]
 
     def text(self, page: str) -> str:
-        found = blocks(page)
+        found = blocks(page, self.weight)
         return "\n".join(b.text for b, y in zip(found, self.labels(found), strict=True) if y)
 
 
-def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
-
-
 def marginals(score: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of blocks x labels scores: the labels' probabilities, and those of neighbouring labels summed over the page."""
-    n = len(score)
-    forth, back = np.zeros((n, 2)), np.zeros((n, 2))
-    forth[0] = first + score[0]
-    for k in range(1, n):
-        forth[k] = score[k] + log_sum(forth[k - 1][:, None] + step, 0)
-    for k in range(n - 2, -1, -1):
-        back[k] = log_sum(step + (score[k + 1] + back[k + 1])[None, :], 1)
-    total = log_sum(forth[-1], 0)
-    both = np.exp(forth[:-1, :, None] + step + (score[1:] + back[1:])[:, None, :] - total).sum(0) if n > 1 else np.zeros((2, 2))
-    return np.exp(forth + back - total), both
+    """Of blocks x labels scores: the labels' probabilities, and those of neighbouring labels summed over the page.
+
+    Forward and backward values are scaled to a sum of 1 at each block.
+    """
+    e = np.exp(score - score.max(1, keepdims=True)).tolist()
+    (s00, s01), (s10, s11) = np.exp(step - step.max()).tolist()
+    a, b = np.exp(first - first.max()).tolist()
+    forth, back = [], [(1.0, 1.0)]
+    for k, (e0, e1) in enumerate(e):
+        if k:
+            a, b = a * s00 + b * s10, a * s01 + b * s11
+        a, b = a * e0, b * e1
+        total = a + b
+        a, b = a / total, b / total
+        forth.append((a, b))
+    for e0, e1 in e[:0:-1]:
+        a, b = back[-1][0] * e0, back[-1][1] * e1
+        a, b = s00 * a + s01 * b, s10 * a + s11 * b
+        total = a + b
+        back.append((a / total, b / total))
+    forth, back = np.array(forth), np.array(back[::-1])
+    p = forth * back
+    pairs = forth[:-1, :, None] * np.exp(step - step.max()) * (np.array(e)[1:] * back[1:])[:, None, :]
+    return p / p.sum(1, keepdims=True), (pairs / pairs.sum((1, 2), keepdims=True)).sum(0)
 
 
 def train(pages: Iterator[str], epochs: int = EPOCHS, rate: float = 0.3, ridge: float = 1e-4) -> Field:
@@ -192,23 +211,22 @@ def train(pages: Iterator[str], epochs: int = EPOCHS, rate: float = 0.3, ridge:
     seen = []
     names: dict[str, int] = {}
     for page in pages:
-        found = blocks(page)
-        if found:
-            truth = np.array([int(MAIN in b.text) for b in found])
+        truth = np.array([int(MAIN in b.text) for b in blocks(page)])
+        if len(truth):
             # the mark isn't part of the text: its features are made anew without it
             clean = blocks(page.replace(MAIN, ""))
-            seen.append(([np.array([names.setdefault(f, len(names)) for f in b.features]) for b in clean], truth))
+            size = np.array([len(b.features) for b in clean])
+            seen.append((np.array([names.setdefault(f, len(names)) for b in clean for f in b.features]), size, np.cumsum(size) - size, truth))
     weight, step, first = np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)
     squares = [np.full(x.shape, 1e-8) for x in (weight, step, first)]
     order = np.random.default_rng(3)
     for _ in range(epochs):
         for k in order.permutation(len(seen)):
-            features, truth = seen[k]
-            score = np.array([[0.0, weight[f].sum()] for f in features])
-            p, both = marginals(score, step, first)
-            slope = [np.zeros_like(weight), -both, np.eye(2)[truth[0]] - p[0]]
+            features, size, begin, truth = seen[k]
+            main = np.add.reduceat(weight[features], begin)
+            p, both = marginals(np.stack((np.zeros_like(main), main), 1), step, first)
+            slope = [np.bincount(features, np.repeat(truth - p[:, 1], size), len(weight)), -both, np.eye(2)[truth[0]] - p[0]]
             np.add.at(slope[1], (truth[:-1], truth[1:]), 1)
-            np.add.at(slope[0], np.concatenate(features), np.repeat(truth - p[:, 1], [len(f) for f in features]))
             for value, g, q in zip((weight, step, first), slope, squares, strict=True):
                 g = g - ridge * value
                 q += g * g
@@ -219,7 +237,7 @@ def train(pages: Iterator[str], epochs: int = EPOCHS, rate: float = 0.3, ridge:
 @cache
 def field() -> Field:
     """The field of the labelled pages, trained once in a session."""
-    return train(labelled_pages())
+    return train(chain(labelled_pages(), pages_with_stand_ins(PAGES // 20, 6)))
 
 
 def main_text(pages: DataFrame, model: Field | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

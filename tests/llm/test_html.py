@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from sparkloom.llm.dom import blocks
@@ -78,3 +80,34 @@ def test_given_pages(spark, part):
         inner = re.split(r"</?(?:p|h1)>", r.html.split("<article>")[1].split("</article>")[0])
         want = [" ".join(html.unescape(re.sub("<[^>]+>", "", x.replace("<br>", " "))).split()) for x in inner]
         assert r.text == "\n".join(x for x in want if x)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>x" * 170_000, "<a " * 350_000, "<span>x</b>" * 90_000, "<b><div>" + "<span></b>" * 100_000, '<a x="b" ' * 100_000 + 'd=">"', "<blockquote>x" * 80_000, "<head><body>" * 80_000, "<li>x" * 100_000, "<title>" * 150_000, "<textarea><p>" * 80_000]
+    + ["".join(f'<div class="n{k} nav m{k}">x' for k in range(40_000))],
+)
+def test_time_grows_with_the_page_only(page):
+    model = field()
+    began = time.process_time()
+    model.text(page)
+    assert time.process_time() - began < 5
+
+
+def test_references_are_decoded_in_their_own_text_node():
+    assert [b.text for b in blocks("<p>&am<b>p;lt</b>; &lt;<i>&amp;</i>lt;<p>&am<!-- -->p; &#65;&nbsp;&copy")] == ["&amp;lt; <&lt;", "&amp; A ©"]
+
+
+def test_elements_shown_in_place_of_others():
+    text = "<p>a <math><mi>x</mi><annotation>no</annotation></math> b<p><noscript>c</noscript><video>d</video><svg><title>no</title><text>e</text></svg>"
+    assert [b.text for b in blocks(text)] == ["a x b", "cde"]
+    assert [b.text for b in blocks("<title>never closed <p>a<textarea>b <p>c<noscript>d<script>e <p>")] == ["a", "b", "cd"]
+
+
+def test_quotes_in_tags():
+    assert [b.text for b in blocks("<p title=it's>a</p><p title=\"x>y\" alt='>'>b</p><p title=\"open>c</p>")] == ["a", "b", "c"]
+
+
+def test_known_features_only():
+    page = '<div class="one two"><p class="two three">x<div class="one">y'
+    assert [set(b.features) - set(a.features) for b, a in zip(blocks(page), blocks(page, {"name:two", "in:p"}), strict=True)] == [{"in:div", "name:one", "name:three"}, {"in:div", "name:one"}]
