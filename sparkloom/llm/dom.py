@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
-from collections import Counter, defaultdict
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Container
 from functools import lru_cache
 from typing import NamedTuple
@@ -37,6 +37,9 @@ _STOP = re.compile(r"""=\s*["']|>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS - SHORT_RAW))})(?=[\s/>])", re.I)
+_IN = {t: (f"in:{t}",) for t in BLOCKS | INSTEAD}
+_MOST_WORDS = (1, 4, 9, 24, 59)
+_WORDS = [f"words:{k}" for k in range(len(_MOST_WORDS) + 1)]
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
@@ -57,13 +60,12 @@ def _tokens(attributes: str) -> tuple[str, ...]:
 
 def shape(text: str, linked: int) -> tuple[str, ...]:
     """Features of a block's text."""
-    words, share = text.count(" ") + 1, linked / max(1, len(text))
-    size = next(i for i, most in enumerate((1, 4, 9, 24, 59, 10**12)) if words <= most)
+    share = linked / max(1, len(text))
     return (
-        f"words:{size}",
-        f"links:{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3}",
-        f"stop:{text[-1:] in '.!?…'}",
-        f"upper:{text[:1].isupper()}",
+        _WORDS[bisect_left(_MOST_WORDS, text.count(" ") + 1)],
+        "links:0" if not linked else "links:1" if share < 0.3 else "links:2" if share < 0.7 else "links:3",
+        "stop:True" if text[-1:] in ".!?…" else "stop:False",
+        "upper:True" if text[:1].isupper() else "upper:False",
     )
 
 
@@ -101,19 +103,21 @@ class Path:
         self.places: dict[str, list[int]] = defaultdict(list)
         self.blocks: list[int] = []
         self.fences: list[int] = []
-        self.held: Counter[str] = Counter()
+        self.held: dict[str, int] = {}
         self.links = self.hidden = 0
 
     def push(self, tag: str, attributes: str) -> None:
-        own = [f"in:{tag}"] if tag in BLOCKS or tag in INSTEAD else []
-        own += [f"name:{n}" for n in tokens(attributes)] if attributes else []
-        if self.known is not None:
-            own = [f for f in own if f in self.known]
+        own = _IN.get(tag, ())
+        if attributes:
+            own += tuple(f"name:{n}" for n in tokens(attributes))
         _, _, above, section = self.open[-1] if self.open else ("", (), (), "none")
-        new = tuple(f for f in own if not self.held[f])
-        self.held.update(own)
+        held, known = self.held, self.known
+        for f in own:
+            held[f] = times = held.get(f, 0) + 1
+            if times == 1 and (known is None or f in known):
+                above += (f,)
         at = len(self.open)
-        self.open.append((tag, tuple(own), above + new if new else above, tag if tag in SECTIONS else section))
+        self.open.append((tag, own, above, tag if tag in SECTIONS else section))
         self.places[tag].append(at)
         if tag in BLOCKS:
             self.blocks.append(at)
@@ -127,7 +131,8 @@ class Path:
         while len(self.open) > at:
             tag, own, _, _ = self.open.pop()
             self.places[tag].pop()
-            self.held.subtract(own)
+            for f in own:
+                self.held[f] -= 1
             self.links -= tag == "a"
             self.hidden -= tag in HIDDEN
         for marks in (self.blocks, self.fences):
