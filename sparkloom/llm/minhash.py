@@ -13,12 +13,18 @@
    posting is compared with all others in it: as many pairs as there are
    postings. Colliding coordinates are counted; pairs with ``MATCHES`` or more
    are confirmed on full sets. Confirmed links give components.
-4. What is left are pairs of documents that share a posting but no component.
-   Outside a posting's main component documents are few; these are joined with
-   the posting's other documents. The join's condition compares parities, which
-   bound from below how far two sets differ and so lose nothing, and counts
-   collisions; hardly more than links leave it. Those are confirmed on full
-   sets. Pairs inside a component are never compared.
+4. What is left are pairs of documents that share a posting but no component,
+   such as the pages of one template that are alike but not near enough: all
+   pairs of them may collide. They are told apart by prefixes again, now of
+   their full sets: with shingles ordered from those of one component over rare
+   to frequent ones, two sets of n and m that link share a shingle among the
+   first n - o + 1 and m - o + 1, where o is the least intersection that sizes
+   n and m allow. Sizes are put into bands, and a set's prefix is as long as a
+   partner's band needs, so shingles that all pages of a template share are
+   left out of it where each page has enough of its own. Of two documents that
+   share a posting at least one lies outside its main component; those are
+   joined with the others by (bands, shingle). Pairs that collide often enough
+   are confirmed on full sets. Pairs inside a component are never compared.
 
 A pair whose similarity is exactly the limit 0.8 collides in 51.2 of 64
 coordinates on average with a deviation of 3.2; fewer than 39 has a chance of
@@ -43,7 +49,9 @@ from sparkloom.llm.arrow_text import text_slices
 from sparkloom.llm.components import components
 from sparkloom.session import written
 
-COORDINATES, MATCHES, ROUNDS, PARITIES = 64, 39, 3, 16
+COORDINATES, MATCHES, ROUNDS = 64, 39, 3
+#: A band holds sizes up to so many times its least.
+BAND = 1.05
 #: Links need LEAST_OF * intersection >= LEAST * union.
 LEAST, LEAST_OF = 80, 100
 WORDS = 4
@@ -167,24 +175,15 @@ def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
     )
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """For each of 64 * PARITIES bins whether it holds an odd number of shingles, 64 to a number.
-
-    Two sets differ in at least as many shingles as bits of their parities.
-    """
-    return np.packbits((np.bincount((shingles % _U(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(bool)).view(np.int64)
-
-
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """rep, its whole set of shingles and the parities, from (rep, text)."""
+    """rep and its whole set of shingles, from (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for _, s in _sets(batch, "text", width)]
-            longs = lambda x: pa.array([y.view(np.int64) for y in x], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), longs(sets), longs(map(parities, sets))], names=["rep", "shingles", "parities"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>, parities array<long>")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
 
 
 def collisions(x: Column, y: Column) -> Column:
@@ -214,6 +213,11 @@ def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(table.select(F.col("rep").alias("a"), F.col(column).alias("x")), "a").join(table.select(F.col("rep").alias("b"), F.col(column).alias("y")), "b")
 
 
+def matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs that collide in MATCHES coordinates or more."""
+    return with_both(pairs, reps, "coordinates").filter(collisions(F.col("x"), F.col("y")) >= MATCHES).select("a", "b")
+
+
 def sets_of(asked: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Whole sets of the representatives in ``asked``, from their texts."""
     where = asked.select("rep").distinct().join(reps.select("rep", F.col("first_id").alias("id"), F.col("text_key").alias("key")), "rep")
@@ -242,38 +246,68 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     turns = led(posts, 0)
     for turn in range(1, ROUNDS):
         turns = turns.unionByName(led(posts, turn))
-    tried = written(with_both(turns.distinct(), reps, "coordinates").filter(collisions(F.col("x"), F.col("y")) >= MATCHES).select("a", "b"), "pairs")
-    links = written(confirmed(tried, sets, least), "links")
+    links = written(confirmed(written(matching(turns.distinct(), reps), "pairs"), sets, least), "links")
     roots = written(components(links), "roots")
-    more = written(confirmed(across(posts, roots, reps, sets, least), sets, least), "links")
+    left = written(prefixes(mixed(posts, roots), sets, least), "prefixes")
+    more = written(confirmed(written(matching(across(left, least), reps), "pairs"), sets, least), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return settled(rows, reps, roots, key)
 
 
-def across(posts: DataFrame, roots: DataFrame, reps: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs that share a posting but no component, may be links by their parities and collide often enough.
-
-    All is tested within the join, and of the postings that a pair shares only
-    the first lets it pass, so few rows but the links leave it.
-    """
+def mixed(posts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rep, root, asks) of representatives with a posting in more than one component; ``asks``: it lies outside the main one of some posting."""
     placed = posts.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("posting", "rep", F.coalesce("root", "rep").alias("root"))
     sizes = placed.groupBy("posting", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("posting").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("posting", F.col("m.root").alias("main"))
-    prefixes = posts.groupBy("rep").agg(F.collect_list("posting").alias("prefix"))  # COORDINATES at most
-    # one column each: the compiled condition stays short
-    thin = sets.select("rep", F.size("shingles").alias("n"), *[F.col("parities")[i].alias(f"p{i}") for i in range(PARITIES)])
-    mixed = written(placed.join(main, "posting"), "mixed-postings").join(reps.select("rep", "coordinates"), "rep").join(thin, "rep").join(prefixes, "rep")
-    few = mixed.filter("root <> main").select(F.col("posting").alias("few_posting"), F.col("rep").alias("few"), F.col("root").alias("few_root"), F.col("coordinates").alias("x"), F.col("prefix").alias("few_prefix"), F.col("n").alias("few_n"), *[F.col(f"p{i}").alias(f"q{i}") for i in range(PARITIES)])
-    # of two documents outside the main component, the smaller one asks
-    asks = (F.col("root") != F.col("few_root")) & ((F.col("root") == F.col("main")) | (F.col("few") < F.col("rep")))
-    apart = F.expr(" + ".join(f"bit_count(p{i} ^ q{i})" for i in range(PARITIES)))
-    # sets whose intersection is least[0] / least[1] of the union differ in no more shingles than this
-    near = (apart * (least[1] + least[0]) <= (F.col("n") + F.col("few_n")) * (least[1] - least[0])) & (collisions(F.col("x"), F.col("coordinates")) >= MATCHES)
-    # pairs in different components share no posting that isn't mixed
-    once = F.array_min(F.array_intersect("prefix", "few_prefix")) == F.col("posting")
-    found = few.join(mixed, (F.col("few_posting") == F.col("posting")) & asks & near & once)
-    return found.select(F.least("few", "rep").alias("a"), F.greatest("few", "rep").alias("b")).distinct()
+    return placed.join(main, "posting").groupBy("rep", "root").agg(F.max(F.col("root") != F.col("main")).alias("asks"))
+
+
+def band(n: Column) -> Column:
+    """The band of a size; larger sizes never have a lower band."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
+
+
+def overlap(n: Column, m: Column, least: tuple[int, int]) -> Column:
+    """The least intersection of sets of n and m that link."""
+    return F.ceil(least[0] * (n + m) / F.lit(sum(least))).cast("long")
+
+
+def prefixes(asked: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(rep, root, asks, n, own, other, shingle, place): for each band ``other`` of partners the prefix of a set, by places in the order of shingles.
+
+    Shingles of one component come first in that order, and meet no other component.
+    """
+    full = sets.join(asked, "rep").select("rep", "root", "asks", F.size("shingles").cast("long").alias("n"), "shingles")
+    each = full.select("rep", "root", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle", "f")
+    met = each.join(shared, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("met"))
+    n, place = F.col("n"), F.col("place")
+    # partners hold between least[0] / least[1] and least[1] / least[0] times as many
+    low, high = band(F.ceil(n * least[0] / F.lit(least[1]))), band(F.floor(n * least[1] / F.lit(least[0])))
+    smallest = lambda b: F.greatest(F.lit(1), F.floor(F.pow(F.lit(BAND), b)) - 1).cast("long")
+    first = n - F.size("met")
+    longest = n - overlap(n, smallest(low), least) + 1 - first
+    placed = (
+        full.select("rep", "root", "asks", "n")
+        .join(met, "rep")
+        .filter(longest > 0)
+        .select("rep", "root", "asks", "n", first.alias("first"), F.posexplode(F.slice("met", F.lit(1), longest.cast("int"))).alias("k", "m"))
+        .select("rep", "root", "asks", "n", (F.col("first") + F.col("k")).alias("place"), F.col("m.shingle").alias("shingle"))
+    )
+    others = F.filter(F.sequence(low, high), lambda b: place <= n - overlap(n, smallest(b), least))
+    return placed.select("rep", "root", "asks", "n", band(n).alias("own"), F.explode(others).alias("other"), "shingle", "place")
+
+
+def across(left: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs of different components that share a shingle of their prefixes early enough; of ``left``, those that ask and all others."""
+    x = left.filter("asks").select("shingle", F.col("own").alias("x_own"), F.col("other").alias("x_other"), F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
+    y = left.select("shingle", "own", "other", "rep", "root", "asks", "n", "place")
+    o = overlap(F.col("x_n"), F.col("n"), least)
+    early = (F.col("x_place") <= F.col("x_n") - o) & (F.col("place") <= F.col("n") - o)
+    apart = (F.col("x_root") != F.col("root")) & (~F.col("asks") | (F.col("x") < F.col("rep")))
+    found = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("x_own") == F.col("other")) & (F.col("x_other") == F.col("own")) & apart & early)
+    return found.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
 def settled(rows: DataFrame, reps: DataFrame, roots: DataFrame, key: list[str]) -> DataFrame:

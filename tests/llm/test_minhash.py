@@ -84,13 +84,37 @@ def test_empty_table(docs_of):
     check([], docs_of)
 
 
-def test_parities_bound_the_difference():
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        x = rng.integers(0, 2**63, rng.integers(1, 3000)).astype(np.uint64)
-        y = np.unique(np.concatenate((x[: rng.integers(0, len(x) + 1)], rng.integers(0, 2**63, 50).astype(np.uint64))))
-        apart = sum(int(v).bit_count() for v in (minhash.parities(np.unique(x)) ^ minhash.parities(y)).view(np.uint64))
-        assert apart <= len(set(x.tolist()) ^ set(y.tolist()))
+def template_pages(seed, n, own):
+    """Pages of 100 words of a template, of which each has replaced some runs by words of its own."""
+    r = random.Random(seed)
+    base = [f"t{k}" for k in range(100)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(0, 100, 10), own):
+            w[k + 5] = f"own{i}x{k}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("own", [3, 4, 5, 6])
+def test_pages_of_a_template_that_do_not_all_link(docs_of, own):
+    texts = template_pages(own, 60, own) + template_pages(7, 20, 1)
+    check(list(enumerate(texts)), docs_of)
+
+
+def test_a_group_of_unlinked_pages_is_not_compared_pair_by_pair(spark):
+    least = (minhash.LEAST, minhash.LEAST_OF)
+    for own in (5, 6, 8):
+        compared = []
+        for n in (50, 200):
+            sets = spark.createDataFrame([(i, [int(h) for h in minhash.shingle_set(minhash.hashes_of(np.frombuffer(t.encode(), np.uint8))).view(np.int64)]) for i, t in enumerate(template_pages(1, n, own))], "rep long, shingles array<long>")
+            asked = sets.selectExpr("rep", "rep AS root", "true AS asks")
+            left = minhash.prefixes(asked, sets, least).toPandas()
+            assert minhash.across(minhash.prefixes(asked, sets, least), least).count() <= n
+            sizes = left.groupby(["own", "other", "shingle"]).size().to_dict()
+            compared.append(len(left) + sum(k * sizes.get((other, own_band, s), 0) for (own_band, other, s), k in sizes.items()))
+        assert compared[1] <= 6 * compared[0] + 1000
 
 
 def test_long_texts_in_pieces(monkeypatch):
