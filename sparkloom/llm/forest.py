@@ -3,9 +3,14 @@
 Equal vectors of a label become one representative. Each of ``TREES`` trees
 splits every node of more than ``LEAF`` representatives at the median of a
 random projection; what lies within a margin of it goes to both sides (spill).
-All trees grow together, one level a round, by grouped medians and a join. A
-node that hardly spreads along a direction, such as many copies of one vector,
-isn't split there; leaves that stay too large are compared in pairs of blocks,
+A node of which more than ``MOST_SPILL`` would go to both sides isn't split
+along that direction, so spill can't outgrow what splits gain.
+
+All trees grow together, ``STEPS`` levels a round: the cuts of a node's subtree
+are fitted on a sample of about ``SAMPLE`` of its representatives, chosen by a
+hash, and every representative descends by them in one pass. A round more is
+needed only when nodes hold about 2 ** STEPS times as many. Leaves that stay
+too large, such as those of many near copies, are compared in pairs of blocks,
 so nothing is capped.
 
 Within a leaf all pairs are compared in double precision. A pair that meets in
@@ -23,6 +28,7 @@ not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,17 +39,26 @@ from pyspark.sql import functions as F
 from sparkloom.llm.components import components
 from sparkloom.session import written
 
-TREES, LEVELS, LEAF = 8, 24, 512
+TREES, LEAF, BLOCK = 8, 512, 1024
+#: Levels of a round, and rounds at most.
+STEPS, TURNS = 6, 4
+#: Representatives of a node on which its subtree is fitted, about.
+SAMPLE = 8192
 LIMIT = 0.93
-#: Half the spill, in deviations of the distance between projections of a pair at the limit.
-SPILL = 0.5
+#: Half the spill, in deviations of the distance between projections of a pair at the limit; and the largest share of a node that may go to both sides.
+SPILL, MOST_SPILL = 0.5, 0.25
 SEED = 11
+NODE = ["label", "dim", "tree", "node"]
+
 
+def directions(dim: int, turn: int) -> np.ndarray:
+    """TREES x dim x STEPS unit vectors along the second axis."""
+    r = np.random.default_rng((SEED, dim, turn)).normal(size=(TREES, dim, STEPS))
+    return r / np.linalg.norm(r, axis=1, keepdims=True)
 
-def directions(dim: int) -> np.ndarray:
-    """dim x TREES x LEVELS unit vectors along the first axis."""
-    r = np.random.default_rng(SEED + dim).normal(size=(dim, TREES, LEVELS))
-    return r / np.linalg.norm(r, axis=0)
+
+def margin(dim: np.ndarray, limit: float) -> np.ndarray:
+    return SPILL * np.sqrt(2 * (1 - limit) / dim)
 
 
 def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -53,113 +68,185 @@ def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def projections(reps: DataFrame) -> DataFrame:
-    """(rep, label, dim, tree, node, along): a row for each tree, at its root."""
+def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column of equal lengths."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
-    def run(batches):
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                rows = batch.filter(pa.array(dims == dim))
-                for lo in range(0, rows.num_rows, 1000):
-                    part = rows.slice(lo, 1000)
-                    along = np.einsum("nd,dtl->ntl", unit(part.column("vector")), directions(int(dim))).astype(np.float32)
-                    n = part.num_rows
-                    each = np.repeat(np.arange(n), TREES)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(c).take(pa.array(each)) for c in ("rep", "label", "dim")]
-                        + [pa.array(np.tile(np.arange(TREES), n).astype(np.int64)), pa.array(np.ones(n * TREES, np.int64)), pa.FixedSizeListArray.from_arrays(along.reshape(-1), LEVELS).cast(pa.list_(pa.float32()))],
-                        names=["rep", "label", "dim", "tree", "node", "along"],
-                    )
 
-    return reps.select("rep", "label", "dim", "vector").mapInArrow(run, f"rep long, label {dict(reps.dtypes)['label']}, dim int, tree long, node long, along array<float>")
+def projected(rows: DataFrame, turn: int) -> DataFrame:
+    """(rep, label, dim, tree, node, n, at): the projections of each row's vector on the directions of its tree in this round."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, trees = batch.column("dim").to_numpy(), batch.column("tree").to_numpy()
+            at = np.zeros((batch.num_rows, STEPS), np.float32)
+            for dim in np.unique(dims):
+                along = directions(int(dim), turn)
+                for tree in np.unique(trees[dims == dim]):
+                    own = np.flatnonzero((dims == dim) & (trees == tree))
+                    at[own] = unit(batch.column("vector").take(pa.array(own))) @ along[tree]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, STEPS), pa.int32()), pa.array(at.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("rep", *NODE, "n")], lists], names=["rep", *NODE, "n", "at"])
+
+    return rows.select("rep", *NODE, "n", "vector").mapInArrow(run, f"rep long, label {dict(rows.dtypes)['label']}, dim int, tree long, node long, n long, at array<float>")
+
+
+def cuts_of(at: np.ndarray, n: int, width: float, leaf: int) -> np.ndarray:
+    """Cuts of a subtree as a heap, from the projections of a sample of its n rows: infinite at a leaf, not a number where a node isn't split."""
+    out, held = np.full(1 << STEPS, np.inf, np.float32), {1: np.arange(len(at))}
+    for k in range(1, 1 << STEPS):
+        rows = held.pop(k, None)
+        if rows is None or n * len(rows) <= leaf * len(at):
+            continue
+        x = at[rows, k.bit_length() - 1]
+        cut = np.median(x)
+        if (np.abs(x - cut) <= width).mean() > MOST_SPILL:
+            out[k], held[2 * k] = np.nan, rows
+        else:
+            out[k], held[2 * k], held[2 * k + 1] = cut, rows[x <= cut + width], rows[x > cut - width]
+    return out
+
+
+def fitted(at: DataFrame, limit: float) -> DataFrame:
+    """(label, dim, tree, node, cuts) of every node."""
+    leaf = LEAF
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))
+    some = at.filter(F.pmod(F.xxhash64("rep", "tree"), F.lit(1 << 30)) < share * (1 << 30))
+
+    def fit(table: pa.Table) -> pa.Table:
+        cuts = cuts_of(matrix(table.column("at"), STEPS), table.column("n")[0].as_py(), float(margin(table.column("dim")[0].as_py(), limit)), leaf)
+        return pa.table({**{c: table.column(c).slice(0, 1) for c in NODE}, "cuts": pa.array([cuts], pa.list_(pa.float32()))})
+
+    return some.groupBy(*NODE).applyInArrow(fit, f"label {dict(at.dtypes)['label']}, dim int, tree long, node long, cuts array<float>")
+
+
+def descend(at: np.ndarray, cuts: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and the place from 0 at the bottom of the subtree that each reaches; a row may reach several."""
+    row, k = np.arange(len(at)), np.ones(len(at), np.int64)
+    rows, places = [], []
+    for level in range(STEPS):
+        cut, x, w = cuts[row, k], at[row, level], width[row]
+        ends, whole = np.isinf(cut), np.isnan(cut)
+        rows.append(row[ends])
+        places.append(k[ends] << (STEPS - level))
+        low, high = ~ends & (whole | (x <= cut + w)), ~ends & ~whole & (x > cut - w)
+        row, k = np.concatenate((row[low], row[high])), np.concatenate((2 * k[low], 2 * k[high] + 1))
+    return np.concatenate((*rows, row)), np.concatenate((*places, k)) - (1 << STEPS)
+
+
+def descended(at: DataFrame, limit: float) -> DataFrame:
+    """(rep, label, dim, tree, node) of the nodes that rows with the cuts of their node reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            width = margin(batch.column("dim").to_numpy(), limit).astype(np.float32)
+            row, place = descend(matrix(batch.column("at"), STEPS), matrix(batch.column("cuts"), 1 << STEPS), width)
+            node = batch.column("node").to_numpy()[row] * (1 << STEPS) + place
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(taken) for c in ("rep", "label", "dim", "tree")], pa.array(node)], names=["rep", *NODE])
 
-NODE = ["label", "dim", "tree", "node"]
+    return at.select("rep", *NODE, "at", "cuts").mapInArrow(run, f"rep long, label {dict(at.dtypes)['label']}, dim int, tree long, node long")
 
 
 def leaves(reps: DataFrame, limit: float) -> DataFrame:
-    """(rep, label, dim, tree, node) of every leaf that holds a representative."""
-    rows, settled = written(projections(reps), "nodes"), []
-    margin = F.sqrt(F.lit(2 * (1 - limit)) / F.col("dim")) * SPILL
-    for level in range(LEVELS):
-        rows = rows.withColumn("at", F.col("along")[level])
-        sizes = written(rows.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("at", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q")).filter(f"n > {LEAF}"), "large-nodes")
-        if sizes.isEmpty():
+    """(rep, label, dim, tree, node, leaf) of every leaf that holds a representative."""
+    rows = reps.select("rep", "label", "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TREES - 1).cast("long"))).alias("tree"), F.lit(1).cast("long").alias("node"))
+    settled = []
+    for turn in range(TURNS):
+        large = written(rows.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).filter(f"n > {LEAF}"), "large-nodes")
+        if large.isEmpty():
             break
-        settled.append(rows.join(sizes, NODE, "left_anti").select("rep", *NODE))
-        large = rows.join(sizes, NODE)
-        # where over half of a node would go to both sides, this direction is passed over
-        spread = F.col("q")[2] - F.col("q")[0] > 2 * margin
-        sides = F.when(~spread, F.array(F.lit(0))).otherwise(
-            F.filter(F.array(F.when(F.col("at") <= F.col("q")[1] + margin, 1), F.when(F.col("at") > F.col("q")[1] - margin, 2)), lambda s: s.isNotNull())
-        )
-        rows = written(large.withColumn("side", F.explode(sides)).withColumn("node", F.when(F.col("side") == 0, F.col("node") * 2).otherwise(F.col("node") * 2 + F.col("side") - 1)).select("rep", *NODE, "along"), "nodes")
-    return written(reduce(DataFrame.unionByName, settled, rows.select("rep", *NODE)).withColumn("leaf", F.col("tree") * (1 << (LEVELS + 2)) + F.col("node")), "leaves")
-
-
-def compare(table: pa.Table, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows of one leaf (or two blocks of it): row, links counted here, and the edges of a spanning forest."""
-    x, leaf, block = unit(table.column("vector")), table.column("leaf")[0].as_py(), table.column("block").to_numpy()
-    close = x @ x.T >= limit
-    if len(np.unique(block)) > 1:  # pairs within a block are compared elsewhere
-        close &= block[:, None] != block[None, :]
-    np.fill_diagonal(close, False)
-    held = table.column("held").combine_chunks()
+        settled.append(rows.join(large, NODE, "left_anti").select("rep", *NODE))
+        at = written(projected(rows.join(large, NODE).join(reps.select("rep", "vector"), "rep"), turn), "projections")
+        cuts = written(fitted(at, limit), "cuts")
+        rows = written(descended(at.join(cuts, NODE), limit), "nodes")
+    every = reduce(DataFrame.unionByName, settled, rows.select("rep", *NODE))
+    return written(every.withColumn("leaf", F.col("tree") * (1 << (STEPS * TURNS + 2)) + F.col("node")), "leaves")
+
+
+def meetings(held: pa.ListArray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, earlier leaf) of the leaves before this one that hold a row too."""
     row, ids = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy())), held.flatten().to_numpy()
     earlier = ids < leaf
-    names, at = np.unique(ids[earlier], return_inverse=True)
-    inside = np.zeros((len(held), len(names)), np.float32)
-    inside[row[earlier], at] = 1
-    counted = close & (inside @ inside.T == 0)
-    links = counted @ table.column("copies").to_numpy()
-    a, b, free = [], [], np.ones(len(x), bool)
-    for i in np.flatnonzero(close.any(1)):
-        if free[i]:
-            front = free & close[i]
-            free[i] = False
-            while front.any():
-                free &= ~front
-                found = np.flatnonzero(front)
-                a += [i] * len(found)
-                b += found.tolist()
-                front = free & close[found].any(0)
-    return np.flatnonzero(links), links[links > 0], np.array(a, np.int64), np.array(b, np.int64)
+    return row[earlier], ids[earlier]
+
+
+def forest(close: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Edges that connect what is connected by ``close`` (rows x columns): row to column, and row to row."""
+    free_row, free_column = np.ones(close.shape[0], bool), np.ones(close.shape[1], bool)
+    a, b, c, d = [], [], [], []
+    for i in np.flatnonzero(close.any(1)).tolist():
+        if not free_row[i]:
+            continue
+        free_row[i] = False
+        front = np.array([i])
+        while len(front):
+            columns = np.flatnonzero(free_column & close[front].any(0))
+            free_column[columns] = False
+            front = np.flatnonzero(free_row & close[:, columns].any(1))
+            free_row[front] = False
+            a, b, c, d = a + [i] * len(columns), b + columns.tolist(), c + [i] * len(front), d + front.tolist()
+    return a, b, c, d
+
+
+def compare(table: pa.Table, limit: float) -> pa.Table:
+    """Of the rows of one leaf (or two blocks of it): the links of each counted here, and edges of a spanning forest."""
+    table = table.combine_chunks()
+    block = table.column("block").to_numpy()
+    one, other = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    alone = block.min() == block.max()
+    x, copies, rep = unit(table.column("vector")), table.column("copies").to_numpy(), table.column("rep").to_numpy()
+    close = x[one] @ x[other].T >= limit
+    if alone:
+        np.fill_diagonal(close, False)
+    row, earlier = meetings(table.column("held").combine_chunks(), table.column("leaf")[0].as_py())
+    names, at = np.unique(earlier, return_inverse=True)
+    inside = np.zeros((len(x), len(names)), np.float32)
+    inside[row, at] = 1
+    counted = close & (inside[one] @ inside[other].T == 0)
+    links = np.zeros(len(x), np.int64)
+    links[one] += counted @ copies[other]
+    if not alone:
+        links[other] += counted.T @ copies[one]
+    a, b, c, d = forest(close)
+    left, right = rep[np.concatenate((one[a], one[c])).astype(int)], rep[np.concatenate((other[b], one[d])).astype(int)]
+    some = np.flatnonzero(links)
+    return pa.table({"rep": np.concatenate((rep[some], left)), "links": np.concatenate((links[some], np.zeros(len(left), np.int64))), "other": np.concatenate((rep[some], right))})
 
 
 def found(reps: DataFrame, limit: float) -> DataFrame:
     """(rep, links, other): how many links of a representative a leaf counts, or an edge to another one."""
     at = leaves(reps, limit)
-    sizes = at.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.when(F.col("n") > 2 * LEAF, F.ceil(F.col("n") / LEAF)).otherwise(F.lit(1)).cast("long"))
+    sizes = at.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.when(F.col("n") > BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(F.lit(1)).cast("long"))
     held = at.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("held"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     rows = at.join(sizes, NODE).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     full = rows.join(reps.select("rep", "vector", "copies").join(held, "rep"), "rep")
     group = full.groupBy("label", "dim", "leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def run(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        i, n, a, b = compare(table, limit)
-        return pa.table({"rep": np.concatenate((rep[i], rep[a])), "links": np.concatenate((n, np.zeros(len(a)))).astype(np.int64), "other": pa.array(np.concatenate((rep[i], rep[b])))})
-
-    return group.applyInArrow(run, "rep long, links long, other long")
+    return group.applyInArrow(lambda table: compare(table, limit), "rep long, links long, other long")
 
 
 def near_vectors(vectors: DataFrame, limit: float = LIMIT, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    all_ = written(vectors.select(F.col(vec_id).alias("vec_id"), F.monotonically_increasing_id().alias("tag"), F.col(label).alias("label"), F.col(vector).alias("vector")), "vectors")
+    source = vectors.select(F.col(vec_id).alias("vec_id"), F.monotonically_increasing_id().alias("tag"), F.col(label).alias("label"), F.col(vector).alias("vector"))
+    # equal vectors of a label have equal keys of 128 bits, which take their place from here on
+    all_ = written(source.withColumns({"key_a": F.xxhash64("label", "vector"), "key_b": F.xxhash64(F.lit(SEED), "vector", "label")}), "vectors")
+    key = ["key_a", "key_b"]
     real = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("vector", lambda c: c != 0)
     usable = F.coalesce(F.col("label").isNotNull() & real, F.lit(False))
     order = F.struct(F.col("vec_id").isNull().alias("no_id"), F.col("vec_id").alias("id"), F.col("tag").alias("tag"))
-    groups = all_.filter(usable).groupBy("label", "vector").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first"))
-    reps = written(groups.select(F.col("first.tag").alias("rep"), "label", F.size("vector").alias("dim"), "vector", "copies", "first"), "representatives")
+    groups = all_.filter(usable).groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    reps = written(groups.select(F.col("first.tag").alias("rep"), *key, "label", F.size("vector").alias("dim"), "vector", "copies", "first"), "representatives")
     got = written(found(reps, limit), "links")
     degree = got.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(got.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    rooted = reps.join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = reps.select("rep", *key, "copies", "first").join(degree, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    placed = rooted.join(least, "root").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least")
-    joined = all_.select("vec_id", "tag", "label", "vector").join(placed, ["label", "vector"], "left")
+    placed = rooted.join(least, "root").select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least")
+    joined = all_.select("vec_id", "tag", *key).join(placed, key, "left")
     return joined.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -59,6 +59,47 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("leaf", [512, 20, 4])
 def test_groups_large_and_small(spark, monkeypatch, leaf):
     monkeypatch.setattr(forest, "LEAF", leaf)
+    monkeypatch.setattr(forest, "BLOCK", 2 * leaf)
     x = vectors(leaf, 40, 8, 0.05) + vectors(1, 1, 90, 0.02) + vectors(2, 2, 20, 0.2)
     x += x[:10]
     check(spark, [(len(x) - i, v, i % 2 if i > 100 else 0) for i, v in enumerate(x)])
+
+
+def test_subtree_places_and_spill():
+    r = np.random.default_rng(0)
+    at = r.normal(size=(5000, forest.STEPS)).astype(np.float32)
+    cuts = forest.cuts_of(at, 5000, 0.1, forest.LEAF)
+    row, place = forest.descend(at, np.tile(cuts, (5000, 1)), np.full(5000, 0.1, np.float32))
+    sizes = np.bincount(place)
+    assert set(row.tolist()) == set(range(5000)) and sizes.max() <= forest.LEAF and len(row) < 2 * 5000
+    assert len(set(zip(row.tolist(), place.tolist()))) == len(row)
+    for i, k in list(zip(row.tolist(), place.tolist()))[::97]:  # down the tree by hand
+        k, node = k + (1 << forest.STEPS), 1
+        for level in range(forest.STEPS):
+            if np.isinf(cuts[node]):
+                break
+            side = (k >> (forest.STEPS - 1 - level)) & 1
+            assert at[i, level] > cuts[node] - 0.1 if side else at[i, level] <= cuts[node] + 0.1
+            node = 2 * node + side
+    same = np.zeros((2000, forest.STEPS), np.float32)  # nothing to split by: one large leaf
+    assert np.isnan(forest.cuts_of(same, 2000, 0.1, 512)[1]) and set(forest.descend(same, np.tile(forest.cuts_of(same, 2000, 0.1, 512), (2000, 1)), np.full(2000, 0.1))[1].tolist()) == {0}
+
+
+def test_recall_at_production_parameters(spark):
+    """Spread-out vectors and a tight cluster, with planted pairs just above the limit, against brute force."""
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    spread, center = unit(r.normal(size=(6000, 64))), unit(r.normal(size=64))
+    noise = unit(r.normal(size=(3000, 64)))
+    tight = unit(center * 0.88**0.5 + noise * 0.12**0.5)
+    base = np.concatenate((spread[:500], tight[:200]))
+    other = r.normal(size=base.shape)
+    other = unit(other - (other * base).sum(1, keepdims=True) * base)
+    cosine = r.uniform(0.9305, 0.945, (len(base), 1))
+    planted = base * cosine + other * np.sqrt(1 - cosine**2)
+    x = np.concatenate((spread, tight, planted)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = near_vectors(rows).toPandas().sort_values("vec_id")
+    y = unit(x.astype(np.float64))
+    want = np.array([int((y[i] @ y.T >= 0.93).sum()) - 1 for i in range(len(y))])
+    assert (got.n_links.to_numpy() <= want).all() and got.n_links.sum() >= 0.995 * want.sum() and want.sum() > 1400
