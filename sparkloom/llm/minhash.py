@@ -52,6 +52,8 @@ from sparkloom.session import written
 COORDINATES, MATCHES, ROUNDS = 64, 39, 3
 #: A band holds sizes up to so many times its least.
 BAND = 1.05
+#: A row of a prefix carries the shingles before its own, up to so many.
+CARRIED = 40
 #: Links need LEAST_OF * intersection >= LEAST * union.
 LEAST, LEAST_OF = 80, 100
 WORDS = 4
@@ -274,9 +276,10 @@ def overlap(n: Column, m: Column, least: tuple[int, int]) -> Column:
 
 
 def prefixes(asked: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(rep, root, asks, n, own, other, shingle, place): for each band ``other`` of partners the prefix of a set, by places in the order of shingles.
+    """(rep, root, asks, n, own, other, shingle, place, before): for each band ``other`` of partners the prefix of a set, by places in the order of shingles.
 
-    Shingles of one component come first in that order, and meet no other component.
+    Shingles of one component come first in that order, and meet no other component. ``before``: the
+    other shingles before this one; null beyond ``CARRIED``, as whole prefixes of long texts would grow with the square of their length.
     """
     full = sets.join(asked, "rep").select("rep", "root", "asks", F.size("shingles").cast("long").alias("n"), "shingles")
     each = full.select("rep", "root", F.explode("shingles").alias("shingle"))
@@ -292,21 +295,24 @@ def prefixes(asked: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataF
         full.select("rep", "root", "asks", "n")
         .join(met, "rep")
         .filter(longest > 0)
-        .select("rep", "root", "asks", "n", first.alias("first"), F.posexplode(F.slice("met", F.lit(1), longest.cast("int"))).alias("k", "m"))
-        .select("rep", "root", "asks", "n", (F.col("first") + F.col("k")).alias("place"), F.col("m.shingle").alias("shingle"))
+        .select("rep", "root", "asks", "n", first.alias("first"), F.slice(F.col("met")["shingle"], F.lit(1), F.greatest(longest, F.lit(0)).cast("int")).alias("met"))
+        .select("*", F.posexplode("met").alias("k", "shingle"))
+        .select("rep", "root", "asks", "n", (F.col("first") + F.col("k")).alias("place"), "shingle", F.when(F.col("k") <= CARRIED, F.slice("met", F.lit(1), F.col("k"))).alias("before"))
     )
     others = F.filter(F.sequence(low, high), lambda b: place <= n - overlap(n, smallest(b), least))
-    return placed.select("rep", "root", "asks", "n", band(n).alias("own"), F.explode(others).alias("other"), "shingle", "place")
+    return placed.select("rep", "root", "asks", "n", band(n).alias("own"), F.explode(others).alias("other"), "shingle", "place", "before")
 
 
 def across(left: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Pairs of different components that share a shingle of their prefixes early enough; of ``left``, those that ask and all others."""
-    x = left.filter("asks").select("shingle", F.col("own").alias("x_own"), F.col("other").alias("x_other"), F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
-    y = left.select("shingle", "own", "other", "rep", "root", "asks", "n", "place")
+    x = left.filter("asks").select("shingle", F.col("own").alias("x_own"), F.col("other").alias("x_other"), F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("place").alias("x_place"), F.col("before").alias("x_before"))
+    y = left.select("shingle", "own", "other", "rep", "root", "asks", "n", "place", "before")
     o = overlap(F.col("x_n"), F.col("n"), least)
     early = (F.col("x_place") <= F.col("x_n") - o) & (F.col("place") <= F.col("n") - o)
     apart = (F.col("x_root") != F.col("root")) & (~F.col("asks") | (F.col("x") < F.col("rep")))
-    found = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("x_own") == F.col("other")) & (F.col("x_other") == F.col("own")) & apart & early)
+    # a pair that shares an earlier shingle has been met by that one
+    once = ~F.coalesce(F.arrays_overlap("x_before", "before"), F.lit(False))
+    found = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("x_own") == F.col("other")) & (F.col("x_other") == F.col("own")) & apart & early & once)
     return found.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
