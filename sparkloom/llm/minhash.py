@@ -10,9 +10,9 @@
    Passages that many documents share make frequent postings, which prefixes
    leave out.
 3. In ``ROUNDS`` rounds, each with another order, the first document of a
-   posting is compared with all others in it: as many pairs as there are
-   postings. Colliding coordinates are counted; pairs with ``MATCHES`` or more
-   are confirmed on full sets. Confirmed links give components.
+   posting leads it, and every document is compared with the ``LEADS`` ones that
+   lead most of its postings. Colliding coordinates are counted; pairs with ``MATCHES`` or more are confirmed on full sets.
+   Confirmed links give components.
 4. What is left are pairs of documents that share a posting but no component,
    such as the pages of one template that are alike but not near enough: all
    pairs of them may collide. They are told apart by prefixes again, now of
@@ -23,8 +23,9 @@
    partner's band needs, so shingles that all pages of a template share are
    left out of it where each page has enough of its own. Of two documents that
    share a posting at least one lies outside its main component; those are
-   joined with the others by (bands, shingle). Pairs that collide often enough
-   are confirmed on full sets. Pairs inside a component are never compared.
+   joined with the others by (bands, shingle). Parities bound from below how far
+   two sets differ; pairs that they allow are confirmed on full sets. Pairs
+   inside a component are never compared.
 
 A pair whose similarity is exactly the limit 0.8 collides in 51.2 of 64
 coordinates on average with a deviation of 3.2; fewer than 39 has a chance of
@@ -49,11 +50,9 @@ from sparkloom.llm.arrow_text import text_slices
 from sparkloom.llm.components import components
 from sparkloom.session import written
 
-COORDINATES, MATCHES, ROUNDS = 64, 39, 3
+COORDINATES, MATCHES, ROUNDS, LEADS, PARITIES = 64, 39, 3, 4, 8
 #: A band holds sizes up to so many times its least.
 BAND = 1.05
-#: A row of a prefix carries the shingles before its own, up to so many.
-CARRIED = 40
 #: Links need LEAST_OF * intersection >= LEAST * union.
 LEAST, LEAST_OF = 80, 100
 WORDS = 4
@@ -177,15 +176,24 @@ def signatures(docs: DataFrame, text: str, width: int) -> DataFrame:
     )
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITIES bins whether it holds an odd number of shingles, 64 to a number.
+
+    Two sets differ in at least as many shingles as bits of their parities.
+    """
+    return np.packbits((np.bincount((shingles % _U(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(bool)).view(np.int64)
+
+
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """rep and its whole set of shingles, from (rep, text)."""
+    """rep, its whole set of shingles and the parities, from (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for _, s in _sets(batch, "text", width)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
+            longs = lambda x: pa.array([y.view(np.int64) for y in x], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), longs(sets), longs(map(parities, sets))], names=["rep", "shingles", "parities"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>, parities array<long>")
 
 
 def collisions(x: Column, y: Column) -> Column:
@@ -204,10 +212,13 @@ def postings(reps: DataFrame) -> DataFrame:
 
 
 def led(posts: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each posting's first document, in the order of this turn, with the others in it."""
+    """Pairs of each document with the LEADS ones that come first, in the order of this turn, in most of its postings."""
     order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("lead"))
-    first = posts.groupBy("posting").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("posting", "f.lead")
-    return posts.join(first, "posting").filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    first = posts.groupBy("posting").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("posting", "f")
+    shared = posts.join(first, "posting").filter("rep <> f.lead").groupBy("rep", "f").agg(F.count(F.lit(1)).alias("n"))
+    most = F.sort_array(F.collect_list(F.struct("n", F.bitwise_not("f.o").alias("o"), "f.lead")), asc=False)
+    best = shared.groupBy("rep").agg(F.slice(most, 1, LEADS).alias("m")).select("rep", F.explode("m.lead").alias("lead"))
+    return best.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
 
 
 def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -251,7 +262,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     links = written(confirmed(written(matching(turns.distinct(), reps), "pairs"), sets, least), "links")
     roots = written(components(links), "roots")
     left = written(prefixes(mixed(posts, roots), sets, least), "prefixes")
-    more = written(confirmed(written(matching(across(left, least), reps), "pairs"), sets, least), "links")
+    more = written(confirmed(written(across(left, least), "pairs"), sets, least), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return settled(rows, reps, roots, key)
@@ -276,12 +287,11 @@ def overlap(n: Column, m: Column, least: tuple[int, int]) -> Column:
 
 
 def prefixes(asked: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(rep, root, asks, n, own, other, shingle, place, before): for each band ``other`` of partners the prefix of a set, by places in the order of shingles.
+    """(rep, root, asks, n, own, other, shingle, place, parities): for each band ``other`` of partners the prefix of a set, by places in the order of shingles.
 
-    Shingles of one component come first in that order, and meet no other component. ``before``: the
-    other shingles before this one; null beyond ``CARRIED``, as whole prefixes of long texts would grow with the square of their length.
+    Shingles of one component come first in that order, and meet no other component.
     """
-    full = sets.join(asked, "rep").select("rep", "root", "asks", F.size("shingles").cast("long").alias("n"), "shingles")
+    full = sets.join(asked, "rep").select("rep", "root", "asks", F.size("shingles").cast("long").alias("n"), "shingles", "parities")
     each = full.select("rep", "root", F.explode("shingles").alias("shingle"))
     shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle", "f")
     met = each.join(shared, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("met"))
@@ -292,27 +302,28 @@ def prefixes(asked: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataF
     first = n - F.size("met")
     longest = n - overlap(n, smallest(low), least) + 1 - first
     placed = (
-        full.select("rep", "root", "asks", "n")
+        full.select("rep", "root", "asks", "n", "parities")
         .join(met, "rep")
         .filter(longest > 0)
-        .select("rep", "root", "asks", "n", first.alias("first"), F.slice(F.col("met")["shingle"], F.lit(1), F.greatest(longest, F.lit(0)).cast("int")).alias("met"))
+        .select("rep", "root", "asks", "n", "parities", first.alias("first"), F.slice(F.col("met")["shingle"], F.lit(1), F.greatest(longest, F.lit(0)).cast("int")).alias("met"))
         .select("*", F.posexplode("met").alias("k", "shingle"))
-        .select("rep", "root", "asks", "n", (F.col("first") + F.col("k")).alias("place"), "shingle", F.when(F.col("k") <= CARRIED, F.slice("met", F.lit(1), F.col("k"))).alias("before"))
+        .select("rep", "root", "asks", "n", (F.col("first") + F.col("k")).alias("place"), "shingle", "parities")
     )
     others = F.filter(F.sequence(low, high), lambda b: place <= n - overlap(n, smallest(b), least))
-    return placed.select("rep", "root", "asks", "n", band(n).alias("own"), F.explode(others).alias("other"), "shingle", "place", "before")
+    return placed.select("rep", "root", "asks", "n", band(n).alias("own"), F.explode(others).alias("other"), "shingle", "place", "parities")
 
 
 def across(left: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs of different components that share a shingle of their prefixes early enough; of ``left``, those that ask and all others."""
-    x = left.filter("asks").select("shingle", F.col("own").alias("x_own"), F.col("other").alias("x_other"), F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("place").alias("x_place"), F.col("before").alias("x_before"))
-    y = left.select("shingle", "own", "other", "rep", "root", "asks", "n", "place", "before")
+    """Pairs of different components that share a shingle of their prefixes early enough and may link by their parities; of ``left``, those that ask and all others."""
+    x = left.filter("asks").select("shingle", F.col("own").alias("x_own"), F.col("other").alias("x_other"), F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("place").alias("x_place"), F.col("parities").alias("x_parities"))
+    y = left.select("shingle", "own", "other", "rep", "root", "asks", "n", "place", "parities")
     o = overlap(F.col("x_n"), F.col("n"), least)
     early = (F.col("x_place") <= F.col("x_n") - o) & (F.col("place") <= F.col("n") - o)
     apart = (F.col("x_root") != F.col("root")) & (~F.col("asks") | (F.col("x") < F.col("rep")))
-    # a pair that shares an earlier shingle has been met by that one
-    once = ~F.coalesce(F.arrays_overlap("x_before", "before"), F.lit(False))
-    found = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("x_own") == F.col("other")) & (F.col("x_other") == F.col("own")) & apart & early & once)
+    # the parities of sets that link differ in no more bits than the sets in shingles
+    bits = F.expr(" + ".join(f"bit_count(x_parities[{i}] ^ parities[{i}])" for i in range(PARITIES)))
+    allowed = bits * sum(least) <= (F.col("x_n") + F.col("n")) * (least[1] - least[0])
+    found = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("x_own") == F.col("other")) & (F.col("x_other") == F.col("own")) & apart & early & allowed)
     return found.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 

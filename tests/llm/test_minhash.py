@@ -84,6 +84,15 @@ def test_empty_table(docs_of):
     check([], docs_of)
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        x = rng.integers(0, 2**63, rng.integers(1, 3000)).astype(np.uint64)
+        y = np.unique(np.concatenate((x[: rng.integers(0, len(x) + 1)], rng.integers(0, 2**63, 50).astype(np.uint64))))
+        apart = sum(int(v).bit_count() for v in (minhash.parities(np.unique(x)) ^ minhash.parities(y)).view(np.uint64))
+        assert apart <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def template_pages(seed, n, own):
     """Pages of 100 words of a template, of which each has replaced some runs by words of its own."""
     r = random.Random(seed)
@@ -108,7 +117,8 @@ def test_a_group_of_unlinked_pages_is_not_compared_pair_by_pair(spark):
     for own in (5, 6, 8):
         compared = []
         for n in (50, 200):
-            sets = spark.createDataFrame([(i, [int(h) for h in minhash.shingle_set(minhash.hashes_of(np.frombuffer(t.encode(), np.uint8))).view(np.int64)]) for i, t in enumerate(template_pages(1, n, own))], "rep long, shingles array<long>")
+            made = [minhash.shingle_set(minhash.hashes_of(np.frombuffer(t.encode(), np.uint8))) for t in template_pages(1, n, own)]
+            sets = spark.createDataFrame([(i, s.view(np.int64).tolist(), minhash.parities(s).tolist()) for i, s in enumerate(made)], "rep long, shingles array<long>, parities array<long>")
             asked = sets.selectExpr("rep", "rep AS root", "true AS asks")
             left = minhash.prefixes(asked, sets, least).toPandas()
             assert minhash.across(minhash.prefixes(asked, sets, least), least).count() <= n
