@@ -185,7 +185,8 @@ def loss_limit(shares: list[tuple[str, np.ndarray, np.ndarray]]) -> float:
     """The loss above which a decoding is unreliable.
 
     Each half of the labelled texts is decoded by what the other half teaches. Those
-    decoded right and clearly are clean; the limit is MARGIN times their largest loss.
+    decoded right are clean, clearly or not, as a text may mix languages; the limit is
+    MARGIN times their largest loss.
     Without any, or with fewer than two languages, there is no limit.
     """
     halves: list[list] = [[], []]
@@ -201,9 +202,8 @@ def loss_limit(shares: list[tuple[str, np.ndarray, np.ndarray]]) -> float:
         if model is None or len(model.languages) < 2:
             return math.inf
         odds = np.array([model.weights[e].T @ s for _, e, s in asked])
-        truth, p, loss = np.array([model.languages.index(x[0]) for x in asked]), model.probabilities(odds), model.losses(odds).min(1)
-        clean = (p.argmax(1) == truth) & (p.max(1) >= CLEAR)
-        largest = max(largest, loss[clean].max(initial=-math.inf))
+        truth, loss = np.array([model.languages.index(x[0]) for x in asked]), model.losses(odds)
+        largest = max(largest, loss.min(1)[loss.argmin(1) == truth].max(initial=-math.inf))
     return MARGIN * largest if largest > 0 else math.inf
 
 

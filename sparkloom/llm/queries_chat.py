@@ -16,7 +16,7 @@ SQL = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
         ), w AS (
-            SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18 END
+            SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 WHEN 'system' THEN 18 ELSE 16 + length(url_encode(role)) END
                       + length(regexp_replace(text, '(\[|<)(\\*)(/?INST\]|<SYS>>|</SYS>>|/?s>|\|)', '\1\\\2\3', 'g')) AS chars
             FROM t
         )

@@ -1,8 +1,11 @@
 import hashlib
 
+import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sparkloom.llm import queries_chat
 from sparkloom.llm.chat import START, formatted, parse, read_back, turn
 
 SIGNS = ["[INST]", "[/INST]", " [/INST]", "</s>", " </s>", "<s>", "<<SYS>>", "<</SYS>>\n", "<|", "|>", "<|end|>", "\\", "[", "<", "/", "INST]", " ", "\n", "é", "[\\INST]", "<\\\\/s>"]
@@ -40,3 +43,31 @@ def test_conversations(spark):
         assert (got[key].loss_chars, got[key].loss_sha256, got[key].formatted_chars) == (len(loss), sha(loss), len(texts[key].formatted))
         assert [texts[key].formatted[s.begin : s.end] for s in texts[key].loss_spans] == [texts[key].formatted[b:e] for r, _, b, e in parse(texts[key].formatted, len(START)) if r == "assistant"]
     assert read_back(formatted(df.limit(0))).count() == 0
+
+
+def test_long_conversations_are_written_in_parts(spark):
+    rows = [(k % 3 or None, i, ("user", "assistant", "tool")[i % 3], f"</s> {i} " * (i % 7)) for k in range(6) for i in range(k, 60, 6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    whole, parts = formatted(df).collect(), formatted(df, 100).collect()
+    assert len(whole) == 3 and len(parts) >= 10 and max(len(p.formatted) for p in parts) < 400
+    for w in whole:
+        own = sorted((p for p in parts if p.conv_id == w.conv_id), key=lambda p: p.part)
+        assert [p.part for p in own] == list(range(len(own))) and "".join(p.formatted for p in own) == w.formatted
+        assert [p.formatted[s.begin : s.end] for p in own for s in p.loss_spans] == [w.formatted[s.begin : s.end] for s in w.loss_spans]
+    order = lambda r: r.conv_id or 0
+    assert sorted(read_back(formatted(df, 100)).collect(), key=order) == sorted(read_back(formatted(df)).collect(), key=order)
+
+
+def test_parts_out_of_order_are_refused(spark):
+    torn = spark.createDataFrame([(1, 1, " x </s>", [])], "conv_id long, part long, formatted string, loss_spans array<struct<begin:long,end:long>>")
+    with pytest.raises(Exception, match="comes after"):
+        read_back(torn).collect()
+
+
+def test_sql_counts_turns_of_other_roles(spark, tmp_path):
+    rows = [(1, 0, "tool", "a <|end|> b"), (1, 1, "a b/\u00e9", "x"), (1, 2, "user", "y"), (2, 0, "", "[INST]")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = queries_chat.op5_chat(spark, str(tmp_path)), con.sql(queries_chat.SQL["op5_chat"])
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries_chat.SQL['op5_chat']})").fetchall()) and sorted(want.columns) == sorted(got.columns)

@@ -97,3 +97,12 @@ def test_noise_is_rejected_and_clean_texts_stay(spark):
 def test_without_labels_documents_with_letters_stay(docs_of, prose):
     rows = [(i, prose(i)) for i in range(5)] + [(9, "123 !!"), (8, None)]
     assert sorted(r.doc_id for r in drop_rejected(docs_of(rows)).collect()) == [*range(5)]
+
+
+def test_texts_of_two_languages_stay(spark):
+    clean = spark.read.parquet(DATA).select("doc_id", "text", "lang")
+    by = {r.lang: r.text for r in clean.filter("length(text) between 600 and 3000").dropDuplicates(["lang"]).collect()}
+    mixed = [(-10 - k, (by["en"][:700] + " " + by[lang][:700]), "en") for k, lang in enumerate(("de", "fr", "es"))]
+    many = [(-100 - k, " ".join(r.text for r in pair), pair[0].lang) for k, pair in enumerate(zip(clean.filter("lang = 'en'").limit(40).collect(), clean.filter("lang = 'de'").limit(40).collect()))]
+    got = {r.doc_id for r in drop_rejected(clean.unionByName(spark.createDataFrame(mixed + many, clean.schema))).collect()}
+    assert {m[0] for m in mixed + many} <= got

@@ -1,5 +1,7 @@
 """Registered queries against their SQL, and the pipeline against slow versions of its stages."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -52,3 +54,35 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert ids[name] == ids["near"]
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted({r.doc_id for r in whole.select("doc_id").collect()}) == ids["near"]
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_pipeline_on_odd_rows(spark, docs_of, odd, prose, tmp_path, labelled):
+    """Nulls, empty and long texts, repeated rows, clashing columns; with and without labels."""
+    german = str.maketrans({"a": "ä", "t": "sch", "o": "ü"})
+    rows = odd + [(100 + i, prose(i) if i % 2 else prose(i).translate(german), "en" if i % 2 else "de") for i in range(12)]
+    rows += [(90, prose(3), "en"), (91, prose(4).translate(german).replace(" ", "  ")), (92, prose(5, 200)), (93, prose(5, 200) + " more"), (105, prose(5), "en")]
+    docs = docs_of(rows if labelled else [r[:2] for r in rows])
+    columns, left = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "packed":
+            assert docs.columns == columns
+            left = [(r.doc_id, r.text) for r in docs.collect()]
+            assert all(any(c.isalpha() for c in t) for _, t in left)
+        if name == "exact":
+            assert len({re.sub(r"[\x20\x09-\x0D]+", " ", t) for _, t in left}) == len(left)
+    # of the clean documents the first of each group stays
+    assert {i for i, _ in left if i is not None and i >= 90} == {*range(90, 93), *range(100, 112)} - {103, 104}
+    assert {i for i, _ in left} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_on_an_empty_table(spark, docs_of, tmp_path):
+    docs = docs_of([])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() == 0
