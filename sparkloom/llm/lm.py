@@ -148,39 +148,43 @@ def slope(z: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, float]:
     return g, likelihood - float(np.log(total).sum(dtype=np.float64))
 
 
-def by_class(c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    ends = np.cumsum(np.bincount(c, minlength=CLASSES))
-    for k in range(CLASSES):
-        rows = order[ends[k - 1] if k else 0 : ends[k]]
-        if len(rows):
-            yield k, rows
+def by_class(c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of tokens by class, and where each class then stands."""
+    ends = np.cumsum(np.bincount(c, minlength=CLASSES)).tolist()
+    begins = [0, *ends[:-1]]
+    return np.argsort(c.astype(np.int16), kind="stable"), [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip(begins, ends, strict=True)) if hi > lo]
 
 
 def log_probs(p: Parameters, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log probability of each token given the words around it."""
     c, m = classes(ids)
-    _, h, z = forward(p, around)
-    out = chosen(z, c)
-    for k, rows in by_class(c):
-        out[rows] += chosen(scores(h[rows], p["to_word"][k], p["word_bias"][k]), m[rows])
+    order, parts = by_class(c)
+    m = m[order]
+    _, h, z = forward(p, around[order])
+    own = chosen(z, c[order])
+    for k, part in parts:
+        own[part] += chosen(scores(h[part], p["to_word"][k], p["word_bias"][k]), m[part])
+    out = np.empty_like(own)
+    out[order] = own
     return out
 
 
 def step(p: Parameters, ids: np.ndarray, around: np.ndarray, rate: float) -> float:
     """One gradient step on a batch, in place; the batch's log likelihood before it."""
     c, m = classes(ids)
+    order, parts = by_class(c)
+    m, around = m[order], around[order]
     x, h, z = forward(p, around)
-    g, likelihood = slope(z, c)
+    g, likelihood = slope(z, c[order])
     dh = g.T @ p["to_class"].T
     scale = rate / len(ids)
-    for k, rows in by_class(c):
-        hk = h[rows]
-        gk, own_likelihood = slope(scores(hk, p["to_word"][k], p["word_bias"][k]), m[rows])
+    for k, part in parts:
+        hk = h[part]
+        gk, own_likelihood = slope(scores(hk, p["to_word"][k], p["word_bias"][k]), m[part])
         likelihood += own_likelihood
-        dh[rows] += gk.T @ p["to_word"][k].T
+        dh[part] += gk.T @ p["to_word"][k].T
         # a class is trained by its own tokens only, so its step isn't as small as its share of a batch
-        own = rate / max(len(rows), len(ids) / CLASSES)
+        own = rate / max(len(hk), len(ids) / CLASSES)
         p["to_word"][k] -= own * (gk @ hk).T
         p["word_bias"][k] -= own * gk.sum(1)
     p["to_class"] -= scale * (g @ h).T
