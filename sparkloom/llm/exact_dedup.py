@@ -23,7 +23,8 @@ from sparkloom.session import written
 #: Runs of this white space count as one space.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Most digests that are broadcast, and counters of the summary. A digest with
-#: more than about 3.5 / COUNTERS of the rows is always proposed.
+#: more than about 3.5 / COUNTERS of the rows is proposed, unless MAX_WINNERS
+#: others have more; what isn't proposed is shuffled, with the same results.
 MAX_WINNERS = 1000
 COUNTERS = 16384
 

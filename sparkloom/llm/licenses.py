@@ -18,6 +18,8 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +54,9 @@ def votes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     # the row of no template meets every text at place -1
     none = spark.sql("SELECT -1 AS template, CAST(NULL AS STRING) AS label, false AS base, 0 AS pairs, 0 AS place, CAST(NULL AS STRING) AS first, CAST(NULL AS STRING) AS second, 0L AS h")
     wanted = pairs.withColumn("h", F.xxhash64("first", "second")).unionByName(none)
-    # lower() differs from lower-casing A-Z in letters that no template has
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN), lambda w: w != "")
+    # lower() would also make the Kelvin sign a k, which templates have
+    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase)
+    words = F.filter(F.split(lowered, BETWEEN), lambda w: w != "")
     split = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("tag"), words.alias("words"))
     hashes = F.when(F.size("words") > 1, F.transform(F.slice("words", F.lit(2), F.size("words") - 1), lambda w, i: F.xxhash64(F.col("words")[i], w))).otherwise(F.array().cast("array<bigint>"))
     # made before they are exploded, so that explosion and join compile into one loop that copies no words

@@ -51,6 +51,11 @@ def test_phrases(docs_of):
     assert got[10].labels == "bsd" and got[10].base_labels == "" and got[11].labels == "mit" and got[9].n_base == 50
 
 
+def test_only_a_to_z_are_lower_cased(docs_of):
+    got = check([(1, NOTICES[4][0].upper()), (2, NOTICES[4][0].replace("work", "wor\u212a")), (3, "M\u0130T LICENSE")], docs_of)
+    assert got[1].score == 1.0 and got[2].score < 1.0 and got[3].n_base == 0
+
+
 def test_empty_table(docs_of):
     check([], docs_of)
 
