@@ -1,0 +1,151 @@
+import hashlib
+import heapq
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sparkloom.llm import queries_repair
+from sparkloom.llm.repair import Automaton, Editor, damaged, digests, kind_of, messages, repaired, scanned, undamaged
+
+DATA = "/root/testdata/sf0.001"
+BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def search(rows):
+    """(cost, audit, turns) over all edits, by Dijkstra's order on (cost, initials). rows: (role, text, faulty, truncated)."""
+    heap, seen = [(0, "", 0, "", ())], set()
+    while heap:
+        cost, audit, i, said, turns = heapq.heappop(heap)
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", said):
+            return cost, audit, list(turns)
+        # the pattern's state is fixed by the last initial
+        if (i, said[-1:]) in seen:
+            continue
+        seen.add((i, said[-1:]))
+        ways = [("I", 2, i, r[0], (r, "")) for r in ("user", "assistant")]
+        if i < len(rows):
+            role, text, faulty, truncated = rows[i]
+            ways.append(("D", 3, i + 1, "", None))
+            if not faulty:
+                ways.append(("K", int(truncated), i + 1, role[:1], (role, text)))
+                ways += [("R", 2 + truncated, i + 1, r[0], (r, text)) for r in ("user", "assistant")]
+        for edit, more, j, initial, turn in ways:
+            now = said + initial
+            if (turn is None or initial) and re.fullmatch("s?(ua)*u?", now):
+                heapq.heappush(heap, (cost + more, audit + edit, j, now, turns + ((turn,) if turn else ())))
+
+
+def faults(rows):
+    """(role, text, faulty, truncated) and the counts, of (role, text) rows in order."""
+    out, seen, n = [], set(), [0, 0, 0]
+    for role, text in rows:
+        bare = text.strip(BLANK)
+        k = 0 if not bare else 1 if (role, text) in seen else 2 if bare[-1] not in ".!?" else 3
+        seen.add((role, text))
+        if k < 3:
+            n[k] += 1
+        out.append((role, text, k < 2, k == 2))
+    return out, n
+
+
+def brute(rows, damage=True):
+    """Figures of (conv_id, turn, role, text) rows."""
+    convs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        space = lambda v: " " if v is None else str(v)
+        own, role, text = convs[conv], space(role), space(text)
+        k = zlib.crc32(f"{space(conv)}:{space(turn)}".encode()) % 20 if damage else 19
+        text = "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text
+        own += [(turn, "user" if k == 4 else role, text)] * (0 if k == 0 else 2 if k == 3 else 1)
+    out = []
+    for conv, own in convs.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.md5(r[2].encode()).hexdigest()))
+        full, (blank, duplicate, truncated) = faults([r[1:] for r in own])
+        turns = {r[0] for r in own} - {None}
+        initials = [r[1][:1] for r in own]
+        illegal = sum(x + y not in ("su", "ua", "au") for x, y in zip(initials, initials[1:]))
+        cost, audit, said = search(full)
+        text = "\n".join(f"{r}:{t}" for r, t in said)
+        out.append((conv, max(turns) - min(turns) + 1 - len(turns) if turns else 0, blank, duplicate, truncated, illegal, cost, audit, hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+row = st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "", "s", "ua"]), st.sampled_from(["hi.", "hi", " ", "", "yes!\n", "no? x"]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(row, max_size=9))
+def test_cheapest_edits_of_least_initials(rows):
+    automaton = AUTOMATON
+    full, _ = faults(rows)
+    kinds = bytes(kind_of(role, faulty, truncated) for role, _, faulty, truncated in full)
+    cost, after = automaton.costs(kinds)
+    audit = "".join(automaton.edits(kinds, after))
+    editor = Editor(audit)
+    turns = [t[1:] for role, text in rows for t in editor.row(role, text)] + [t[1:] for t in editor.inserted()]
+    assert (cost, audit, turns) == search(full) and editor.at == len(audit)
+
+
+AUTOMATON = Automaton()
+
+
+def test_few_states_serve_all_conversations():
+    automaton, r = Automaton(), random.Random(4)
+    for _ in range(300):
+        kinds = bytes(r.randrange(9) for _ in range(r.randrange(200)))
+        cost, after = automaton.costs(kinds)
+        "".join(automaton.edits(kinds, after))
+    assert len(automaton.vectors) < 40 and len(automaton.steps) <= 9 * len(automaton.vectors)
+
+
+ROWS = [
+    (1, 0, "user", "hi."), (1, 1, "assistant", "well."), (1, 2, "user", "hi."), (1, 2, "user", "hi."), (1, 5, "assistant", "cut"), (1, None, "system", "be good."),
+    (2, 0, None, None), (2, 1, "tool", "x."), (None, 0, "user", "no id?"), (None, None, "user", "\n"), (None, None, "user", "\n"), (None, 3, "assistant", "é."),
+    (3, 7, "", "role is empty."), (4, 1, "assistant", "first."), (4, 1, "assistant", "other."), (4, 1, "assistant", "first."), (5, 0, "user", "x" * 100_000 + "."), (6, 2**40, "user", "far."), (6, -5, "assistant", "below."),
+]
+KIND = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("damage", [True, False])
+def test_conversations(spark, damage):
+    r = random.Random(9)
+    rows = ROWS + [(10 + i, t, r.choice(["user", "assistant", "system"]), r.choice(["a.", "b", "c!", " ", "d?", None])) for i in range(60) for t in range(r.randint(1, 9))]
+    clash = [(*x, "own", "own", 5) for x in rows]
+    df = spark.createDataFrame(clash, f"{KIND}, audit string, digest string, place long").repartition(5)
+    made = (damaged if damage else undamaged)(df)
+    assert sorted((tuple(x) for x in digests(repaired(made)).collect()), key=repr) == brute(rows, damage)
+
+
+def test_turns_are_those_that_the_audit_gives(spark):
+    df = spark.createDataFrame([(1, 0, "assistant", "a."), (1, 1, "assistant", "b"), (1, 2, "system", "s."), (2, 0, "user", "")], KIND)
+    found = repaired(undamaged(df)).collect()
+    assert [(r.place, r.role, r.text) for r in found if r.conv_id == 1] == [(-1, None, None), *[(i, r, t) for i, (r, t) in enumerate(search(faults([("assistant", "a."), ("assistant", "b"), ("system", "s.")])[0])[2])]]
+    assert [(r.place, r.cost, r.audit) for r in found if r.conv_id == 2] == [(-1, 3, "D")]
+
+
+def test_empty_table_and_dropped_conversations(spark):
+    df = spark.createDataFrame([], KIND)
+    assert digests(repaired(damaged(df))).count() == 0
+    gone = next(i for i in range(10_000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    df = spark.createDataFrame([(gone, 0, "user", "x")], KIND)
+    assert [tuple(r) for r in digests(repaired(damaged(df))).collect()] == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+def test_a_hot_conversation_of_repeats_is_a_few_rows(spark):
+    """Equal rows are counted before they meet; many turns of one message are found without a window."""
+    df = spark.createDataFrame([(1, 0, "user", "same.")] * 3000 + [(1, t, "user", "again.") for t in range(1, 500)], KIND).repartition(6)
+    found = messages(undamaged(df))
+    assert found.count() == 500
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = scanned(found).first()
+    assert (got.duplicate, got.illegal, got.cost, len(got.audit)) == (3497, 3498, 2999 * 3 + 498 * 3 + 2, 3499)  # the second message becomes the assistant's
+
+
+def test_query(spark):
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()]
+    assert sorted((tuple(r) for r in queries_repair.op11_repair(spark, DATA).collect()), key=repr) == brute(rows)
