@@ -42,6 +42,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,12 +55,16 @@ from sparkloom.session import written
 LONGEST = 64
 #: Bytes that a worker's table of stretches holds at most, about, and what an entry takes beside its strings.
 MOST, ENTRY = 96 << 20, 250
-#: Characters of texts whose results are held at a time, but for one longer text.
-HELD = 1 << 21
+#: Characters of texts, and texts, that are cut at a time, but for one longer text.
+HELD, MANY = 1 << 20, 1000
+#: Stretches that are cut as one text.
+TOGETHER = 512
 #: What marks a space in a piece.
 SPACE = "▁"
 #: Where a split at single spaces isn't one into stretches.
 _RUN = re.compile(r"^ |\s | $")
+#: What keeps a stretch from being cut together with others.
+_ODD = re.compile(rf"^$|\s|{SPACE}")
 
 
 def byte_tokens(path: str) -> tuple[Callable[[str], list[int]], dict[int, bytes]]:
@@ -87,8 +92,8 @@ def byte_tokens(path: str) -> tuple[Callable[[str], list[int]], dict[int, bytes]
     return lambda text: slow.encode(text, add_special_tokens=False).ids, entries
 
 
-def piece_tokens(path: str) -> tuple[Callable[[str], list[int]], dict[int, bytes], bool]:
-    """How a piece tokenizer file cuts what begins with a space, its tokens' bytes, and whether no piece has a space after another character."""
+def piece_tokens(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[int, bytes], bool]:
+    """How a piece tokenizer file cuts texts with a space before them, its tokens' bytes, and whether no piece has a space after another character."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -101,60 +106,127 @@ def piece_tokens(path: str) -> tuple[Callable[[str], list[int]], dict[int, bytes
             entries[i] = piece.replace(SPACE, " ").encode()
             apart &= SPACE not in piece.lstrip(SPACE)
     alone = model.piece_to_id(SPACE)
-    # the file adds the space that the stretch begins with, but not to an empty text
-    return lambda text: model.encode(text[1:], num_threads=1) if len(text) > 1 else [alone], entries, apart
+
+    def cut_all(texts: list[str]) -> list[list[int]]:
+        # the library adds the space, but not to an empty text
+        return [ids if t else [alone] for t, ids in zip(texts, model.encode(texts, num_threads=1), strict=True)]
+
+    return cut_all, entries, apart
+
+
+class Rows:
+    """A vocabulary by id: sizes, and names with each of the marks that may follow."""
+
+    def __init__(self, entries: dict[int, bytes], marks: str):
+        self.entries, most = entries, max(entries) + 2
+        self.sizes, self.names = np.zeros(most, np.int64), np.full((len(marks), most), "", object)
+        for i, x in entries.items():
+            self.sizes[i] = len(x)
+            self.names[:, i] = [f"{i}{m}" for m in marks]
+
+    def gives(self, ids: np.ndarray, data: bytes) -> bool:
+        """Whether the ids' bytes are these."""
+        try:
+            return b"".join(map(self.entries.__getitem__, ids.tolist())) == data
+        except KeyError:  # an id without bytes
+            return False
 
 
 class Stretches(dict):
-    """The groups of stretches that begin with a space, as keys joined by semicolons; None where bytes don't come back.
+    """The groups of stretches, as keys joined by semicolons; None where bytes don't come back.
 
-    Beyond about ``MOST`` bytes the older half goes.
+    A stretch is named without the space that it begins with. Beyond about
+    ``MOST`` bytes the older half goes.
     """
 
     def __init__(self, a: str, b: str):
         self.cut_a, self.bytes_a = byte_tokens(a)
         self.cut_b, self.bytes_b, self.apart = piece_tokens(b)
+        self.sizes_a, self.sizes_b = ({i: len(x) for i, x in entries.items()} for entries in (self.bytes_a, self.bytes_b))
+        self.names_a, self.names_b = ({i: str(i) for i in entries} for entries in (self.bytes_a, self.bytes_b))
+        self.rows_a, self.rows_b = Rows(self.bytes_a, ",|"), Rows(self.bytes_b, ",;\n")
         self.size = 0
 
-    def groups(self, text: str) -> str | None:
-        a, b, data = self.cut_a(text), self.cut_b(text), text.encode("utf-8", "surrogatepass")
-        for ids, entries in ((a, self.bytes_a), (b, self.bytes_b)):
-            if b"".join([entries.get(i, b"") for i in ids]) != data:
+    def groups(self, stretch: str, b: list[int]) -> str | None:
+        """Of one stretch and its B ids."""
+        spaced = " " + stretch
+        a, data, bytes_a, bytes_b = self.cut_a(spaced), spaced.encode("utf-8", "surrogatepass"), self.bytes_a, self.bytes_b
+        try:
+            if b"".join([bytes_a[i] for i in a]) != data or b"".join([bytes_b[i] for i in b]) != data:
                 return None
-        out, i, j = [], 0, 0
-        while i < len(a):
-            first_a, first_b, to_a, to_b = i, j, len(self.bytes_a[a[i]]), len(self.bytes_b[b[j]])
-            i, j = i + 1, j + 1
-            while to_a != to_b:
-                if to_a < to_b:
-                    to_a += len(self.bytes_a[a[i]])
-                    i += 1
+        except KeyError:  # an id without bytes
+            return None
+        sizes_a, sizes_b, names_a, names_b = self.sizes_a, self.sizes_b, self.names_a, self.names_b
+        out, more_a, more_b = [], iter(a), iter(b)
+        for x in more_a:
+            y = next(more_b)
+            ahead, key_a, key_b = sizes_a[x] - sizes_b[y], names_a[x], names_b[y]
+            while ahead:  # bytes that A has read more than B
+                if ahead < 0:
+                    x = next(more_a)
+                    ahead += sizes_a[x]
+                    key_a += "," + names_a[x]
                 else:
-                    to_b += len(self.bytes_b[b[j]])
-                    j += 1
-            out.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+                    y = next(more_b)
+                    ahead -= sizes_b[y]
+                    key_b += "," + names_b[y]
+            out.append(key_a + "|" + key_b)
         return ";".join(out)
 
-    def __missing__(self, text: str) -> str | None:
-        made = self.groups(text)
-        if len(text) <= LONGEST:
-            if self.size > MOST:
-                for old in list(self)[: len(self) // 2]:
-                    self.size -= ENTRY + len(old) + len(self.pop(old) or "")
-            self[text] = made
-            self.size += ENTRY + len(text) + len(made or "")
-        return made
-
-    def of(self, text: str) -> str | None:
-        """The groups of a whole text, None if it has no tokens."""
-        if not text:
-            return None
-        split = text.split(" ") if self.apart else [text]
-        if self.apart and _RUN.search(text):
+    def learn(self, wanted: set[str]) -> list[str]:
+        """Add what is missing; the long ones of it, to be dropped after use."""
+        if self.size > MOST:
+            for old in list(self)[: len(self) // 2]:
+                self.size -= ENTRY + len(old) + len(self.pop(old) or "")
+        new = [p for p in wanted if p not in self]
+        plain = [p for p in new if len(p) <= LONGEST and not _ODD.search(p)] if self.apart else []
+        for lo in range(0, len(plain), TOGETHER):
+            self.update(self.groups_of(plain[lo : lo + TOGETHER]))
+        rest = [p for p in new if p not in self]
+        for p, b in zip(rest, self.cut_b(rest), strict=True):
+            self[p] = self.groups(p, b)
+        self.size += sum(ENTRY + len(p) + len(self[p] or "") for p in new)
+        return [p for p in rest if len(p) > LONGEST]
+
+    def groups_of(self, stretches: list[str]) -> dict[str, str]:
+        """Of stretches without white space, cut as one text; nothing if its bytes don't come back."""
+        text = " ".join(stretches)
+        a, [b], data = np.array(self.cut_a(" " + text), np.int64), self.cut_b([text]), (" " + text).encode("utf-8", "surrogatepass")
+        b = np.array(b, np.int64)
+        if not self.rows_a.gives(a, data) or not self.rows_b.gives(b, data):
+            return {}
+        ends_a, ends_b = np.cumsum(self.rows_a.sizes[a]), np.cumsum(self.rows_b.sizes[b])
+        last_a, last_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        # a stretch ends where the next one's space or the text's end stands
+        over = last_b & np.isin(ends_b, np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[1:], len(data)))
+        # a group's A ids stand before its B ids: both move by the other side's ids before them
+        out = np.empty(len(a) + len(b), object)
+        to_a, to_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        out[np.arange(len(a)) + np.append(0, to_b)[group_a]] = self.rows_a.names[last_a.astype(np.int64), a]
+        out[np.arange(len(b)) + to_a[group_b]] = self.rows_b.names[last_b.astype(np.int64) + over, b]
+        return dict(zip(stretches, "".join(out.tolist()).split("\n"), strict=False))
+
+    def of(self, texts: list[str]) -> list[str | None]:
+        """The groups of each whole text, None if it has no tokens."""
+        split = [self.split(t) for t in texts]
+        long = self.learn(set().union(*split))
+        out = []
+        for stretches in split:
+            found = [self[p] for p in stretches]
+            out.append(None if not found or None in found else ";".join(found))
+        for p in long:
+            self.size -= ENTRY + len(p) + len(self.pop(p) or "")
+        return out
+
+    def split(self, text: str) -> list[str]:
+        if not text or not self.apart:
+            return [text] if text else []
+        split = text.split(" ")
+        if _RUN.search(text):
             first, *later = whole_pieces(split)
             split = [first, *[p[1:] for p in later]]
-        found = [self[" " + p] for p in split]
-        return None if None in found else ";".join(found)
+        return split
 
 
 @cache
@@ -180,6 +252,30 @@ def expanded(key: str, bytes_a: dict[int, bytes], bytes_b: dict[int, bytes]) ->
             end_b += len(bytes_b[b[j]])
 
 
+def counted(texts: list[str | None]) -> list[pa.Array]:
+    """n_a, n_b, n_groups, n_links, groups_sha256 and groups of texts by their groups."""
+    rows, keys, numbers, ends = [], [], [], [0]
+    for joined in texts:
+        if joined is None:
+            rows.append((0, 0, 0, 0, ""))
+        else:
+            found = Counter(joined.split(";"))
+            n_groups = n_a = n_b = joined.count(";") + 1
+            for key, n in found.items():
+                if "," in key:
+                    bar = key.index("|")
+                    n_a += n * key.count(",", 0, bar)
+                    n_b += n * key.count(",", bar)
+            # a group of x and y tokens whose ends meet in its last ones alone has x + y - 1 links
+            rows.append((n_a, n_b, n_groups, n_a + n_b - n_groups, hashlib.sha256(joined.encode()).hexdigest()))
+            keys.extend(found.keys())
+            numbers.extend(found.values())
+        ends.append(len(keys))
+    *figures, sha = zip(*rows, strict=True)
+    groups = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int64())], ["key", "n"])
+    return [*(pa.array(c, pa.int64()) for c in figures), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), groups)]
+
+
 def cut(docs: DataFrame, a: str, b: str) -> DataFrame:
     """tag, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, groups (key, n) of every document. ``tag`` tells rows apart."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -188,33 +284,13 @@ def cut(docs: DataFrame, a: str, b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = stretches(a, b)
         for batch in batches:
-            texts, begun, held, rows, keys, numbers, ends = batch.column("text"), 0, 0, [], [], [], [0]
+            texts, begun, held = batch.column("text"), 0, []
             for k in range(len(texts)):
-                text = texts[k].as_py() or ""
-                joined = table.of(text)
-                if joined is None:
-                    rows.append((0, 0, 0, 0, ""))
-                else:
-                    found = Counter(joined.split(";"))
-                    n_groups = n_a = n_b = joined.count(";") + 1
-                    for key, n in found.items():
-                        if "," in key:
-                            bar = key.index("|")
-                            n_a += n * key.count(",", 0, bar)
-                            n_b += n * key.count(",", bar)
-                    # a group of x and y tokens whose ends meet in its last ones alone has x + y - 1 links
-                    rows.append((n_a, n_b, n_groups, n_a + n_b - n_groups, hashlib.sha256(joined.encode()).hexdigest()))
-                    keys.extend(found.keys())
-                    numbers.extend(found.values())
-                ends.append(len(keys))
-                held += len(text)
-                if held > HELD or k + 1 == len(texts):
-                    columns = [pa.array(c, pa.string() if n == "groups_sha256" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)]
-                    groups = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int64())], ["key", "n"]))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("tag").slice(begun, len(rows)), batch.column("doc_id").slice(begun, len(rows)), *columns, groups], names=["tag", "doc_id", *names, "groups"]
-                    )
-                    begun, held, rows, keys, numbers, ends = k + 1, 0, [], [], [], [0]
+                held.append(texts[k].as_py() or "")
+                if sum(map(len, held)) > HELD or len(held) == MANY or k + 1 == len(texts):
+                    columns = counted(table.of(held))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begun, len(held)) for c in ("tag", "doc_id")), *columns], names=["tag", "doc_id", *names, "groups"])
+                    begun, held = k + 1, []
 
     schema = f"tag long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups array<struct<key:string,n:long>>"
     return docs.select(F.monotonically_increasing_id().alias("tag"), "doc_id", "text").mapInArrow(run, schema)
