@@ -54,9 +54,9 @@ from sparkloom.session import written
 #: Longer stretches (in characters) hardly repeat: they aren't kept.
 LONGEST = 64
 #: Bytes that a worker's table of stretches holds at most, about, and what an entry takes beside its strings.
-MOST, ENTRY = 96 << 20, 250
+MOST, ENTRY = 80 << 20, 250
 #: Characters of texts, and texts, that are cut at a time, but for one longer text.
-HELD, MANY = 1 << 20, 1000
+HELD, MANY = 1 << 19, 1000
 #: Stretches that are cut as one text.
 TOGETHER = 512
 #: What marks a space in a piece.
@@ -136,7 +136,7 @@ class Stretches(dict):
     """The groups of stretches, as keys joined by semicolons; None where bytes don't come back.
 
     A stretch is named without the space that it begins with. Beyond about
-    ``MOST`` bytes the older half goes.
+    ``MOST`` bytes the half goes that wasn't met for longest.
     """
 
     def __init__(self, a: str, b: str):
@@ -179,6 +179,8 @@ class Stretches(dict):
             for old in list(self)[: len(self) // 2]:
                 self.size -= ENTRY + len(old) + len(self.pop(old) or "")
         new = [p for p in wanted if p not in self]
+        for p in wanted.difference(new):
+            self[p] = self.pop(p)  # now among the younger
         plain = [p for p in new if len(p) <= LONGEST and not _ODD.search(p)] if self.apart else []
         for lo in range(0, len(plain), TOGETHER):
             self.update(self.groups_of(plain[lo : lo + TOGETHER]))
