@@ -21,7 +21,9 @@
    first n - o + 1 and m - o + 1, where o is the least intersection that sizes
    n and m allow. Sizes are put into bands, and a set's prefix is as long as a
    partner's band needs, so shingles that all pages of a template share are
-   left out of it where each page has enough of its own. Of two documents that
+   left out of it where each page has enough of its own; and two pages that both
+   have more of their own than half of what linked ones may differ by, are never
+   tried. Of two documents that
    share a posting at least one lies outside its main component; those are
    joined with the others by (bands, shingle). Parities bound from below how far
    two sets differ; pairs that they allow are confirmed on full sets. Pairs
@@ -287,9 +289,12 @@ def overlap(n: Column, m: Column, least: tuple[int, int]) -> Column:
 
 
 def prefixes(asked: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(rep, root, asks, n, own, other, shingle, place, parities): for each band ``other`` of partners the prefix of a set, by places in the order of shingles.
+    """(rep, root, asks, n, own, other, poor, to_poor, shingle, place, parities): for each band ``other`` of partners the prefix of a set, by places in the order of shingles.
 
     Shingles of one component come first in that order, and meet no other component.
+    A set is poor if it holds more of these than half of what two sets of its size
+    that link may differ by. Two poor sets never link, so a poor one asks rich ones
+    only (``to_poor`` is false), a rich one asks both.
     """
     full = sets.join(asked, "rep").select("rep", "root", "asks", F.size("shingles").cast("long").alias("n"), "shingles", "parities")
     each = full.select("rep", "root", F.explode("shingles").alias("shingle"))
@@ -301,29 +306,33 @@ def prefixes(asked: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataF
     smallest = lambda b: F.greatest(F.lit(1), F.floor(F.pow(F.lit(BAND), b)) - 1).cast("long")
     first = n - F.size("met")
     longest = n - overlap(n, smallest(low), least) + 1 - first
+    poor = first * sum(least) > n * (least[1] - least[0])
     placed = (
         full.select("rep", "root", "asks", "n", "parities")
         .join(met, "rep")
         .filter(longest > 0)
-        .select("rep", "root", "asks", "n", "parities", first.alias("first"), F.slice(F.col("met")["shingle"], F.lit(1), F.greatest(longest, F.lit(0)).cast("int")).alias("met"))
+        .select("rep", "root", "asks", "n", "parities", poor.alias("poor"), first.alias("first"), F.slice(F.col("met")["shingle"], F.lit(1), F.greatest(longest, F.lit(0)).cast("int")).alias("met"))
         .select("*", F.posexplode("met").alias("k", "shingle"))
-        .select("rep", "root", "asks", "n", (F.col("first") + F.col("k")).alias("place"), "shingle", "parities")
+        .select("rep", "root", "asks", "n", "poor", (F.col("first") + F.col("k")).alias("place"), "shingle", "parities")
     )
     others = F.filter(F.sequence(low, high), lambda b: place <= n - overlap(n, smallest(b), least))
-    return placed.select("rep", "root", "asks", "n", band(n).alias("own"), F.explode(others).alias("other"), "shingle", "place", "parities")
+    asked_for = F.when(F.col("poor"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    banded = placed.select("rep", "root", "asks", "n", band(n).alias("own"), F.explode(others).alias("other"), "poor", "shingle", "place", "parities")
+    return banded.select("*", F.explode(asked_for).alias("to_poor"))
 
 
 def across(left: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Pairs of different components that share a shingle of their prefixes early enough and may link by their parities; of ``left``, those that ask and all others."""
-    x = left.filter("asks").select("shingle", F.col("own").alias("x_own"), F.col("other").alias("x_other"), F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("place").alias("x_place"), F.col("parities").alias("x_parities"))
-    y = left.select("shingle", "own", "other", "rep", "root", "asks", "n", "place", "parities")
+    x = left.filter("asks").select("shingle", F.col("own").alias("x_own"), F.col("other").alias("x_other"), F.col("poor").alias("x_poor"), F.col("to_poor").alias("x_to_poor"), F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("place").alias("x_place"), F.col("parities").alias("x_parities"))
+    y = left.select("shingle", "own", "other", "poor", "to_poor", "rep", "root", "asks", "n", "place", "parities")
     o = overlap(F.col("x_n"), F.col("n"), least)
     early = (F.col("x_place") <= F.col("x_n") - o) & (F.col("place") <= F.col("n") - o)
     apart = (F.col("x_root") != F.col("root")) & (~F.col("asks") | (F.col("x") < F.col("rep")))
     # the parities of sets that link differ in no more bits than the sets in shingles
     bits = F.expr(" + ".join(f"bit_count(x_parities[{i}] ^ parities[{i}])" for i in range(PARITIES)))
     allowed = bits * sum(least) <= (F.col("x_n") + F.col("n")) * (least[1] - least[0])
-    found = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("x_own") == F.col("other")) & (F.col("x_other") == F.col("own")) & apart & early & allowed)
+    sizes = (F.col("x_own") == F.col("other")) & (F.col("x_other") == F.col("own")) & (F.col("x_poor") == F.col("to_poor")) & (F.col("x_to_poor") == F.col("poor"))
+    found = x.join(y, (x["shingle"] == y["shingle"]) & sizes & apart & early & allowed)
     return found.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
