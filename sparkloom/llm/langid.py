@@ -8,8 +8,9 @@ codeword with the least loss, and flags a text as ambiguous when the nearest
 two lie close.
 
 Training reads a bounded sample: about ``SAMPLE`` distinct labelled texts of each
-language, or all if there are fewer, chosen by a hash. Their n-gram counts are made on the executors;
-only those counts, of a fixed length each, come to the driver.
+language, or all if there are fewer, chosen by a hash. Their n-grams are summed by
+language on the executors; the driver gets those sums and, after a second pass, the
+log odds of each text, neither of which grows with the length of texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 with no labelled rows at all everything is ``und``; with one language that one
@@ -20,15 +21,19 @@ columns named like the results are replaced.
 from __future__ import annotations
 
 import math
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow_text import text_slices
+from sparkloom.session import written
 
 UNDETERMINED = "und"
 #: About so many distinct labelled texts of each language are learned from.
@@ -37,8 +42,8 @@ SAMPLE = 1000
 SIZE = 1 << 16
 #: A text whose best language has less probability than this is ambiguous.
 CLEAR = 0.6
-#: A decoding is unreliable above so many times the largest loss of clean labelled texts; shorter texts (in bytes) give too little evidence for that.
-MARGIN, SHORT = 1.5, 24
+#: A share of 1 in sums of shares.
+ONE = 1 << 40
 CHUNK = 1 << 20
 
 
@@ -115,58 +120,119 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample_shares(docs: DataFrame, text: str, label: str, sample: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, entries, shares) of the texts that are learned from."""
+def sampled(docs: DataFrame, text: str, label: str, sample: int) -> DataFrame:
+    """lang, half (0 or 1), text: distinct texts that are learned from, as a written table."""
     usable = docs.select(F.col(label).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null and length(text) > 0")
     # distinct texts, as copies are chosen together and learned from once
     sizes = {r["lang"]: max(1, r["n"]) for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
-    if not sizes:
-        return []
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     chosen = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).dropDuplicates()
+    return written(chosen.select("lang", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2)).cast("int").alias("half"), "text"), "taught")
+
+
+def gram_sums(chosen: DataFrame) -> DataFrame:
+    """lang, half, entry, share: shares of the n-grams, summed over texts in whole numbers, so that their order doesn't matter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, half), total in sums.items():
+                k = np.flatnonzero(total)
+                yield pa.record_batch({"lang": pa.repeat(lang, len(k)), "half": pa.array(np.full(len(k), half, np.int32)), "entry": pa.array(k.astype(np.int32)), "share": pa.array(total[k])})
+            sums.clear()
+
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
+            langs, halves = batch.column("lang").to_pylist(), batch.column("half").to_pylist()
             for lo, hi, data, at in text_slices(batch, "text"):
-                out = []
                 for i in range(lo, hi):
-                    c = counts(data[at[i - lo] : at[i - lo + 1]])
-                    k = np.flatnonzero(c)
-                    out.append((langs[i], k.astype(np.int32), c[k].astype(np.float32)))
-                yield pa.record_batch({"lang": [o[0] for o in out], "entry": pa.array([o[1] for o in out], pa.list_(pa.int32())), "share": pa.array([o[2] for o in out], pa.list_(pa.float32()))})
+                    own = np.rint(counts(data[at[i - lo] : at[i - lo + 1]]) * ONE).astype(np.int64)
+                    key = (langs[i], halves[i])
+                    sums[key] = sums[key] + own if key in sums else own
+                    if len(sums) > 64:  # of 1 MB each
+                        yield from out()
+        yield from out()
 
-    rows = chosen.mapInArrow(count, "lang string, entry array<int>, share array<float>").toArrow()
-    pick = lambda c, i: rows.column(c)[i].values.to_numpy(zero_copy_only=False)
-    langs = rows.column("lang").to_pylist()
-    return sorted(((langs[i], pick("entry", i), pick("share", i)) for i in range(rows.num_rows)), key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()))
+    return chosen.mapInArrow(count, "lang string, half int, entry int, share long").groupBy("lang", "half", "entry").agg(F.sum("share").alias("share"))
 
 
-def fit(shares: list[tuple[str, np.ndarray, np.ndarray]]) -> Model | None:
-    """The model of labelled n-gram shares; none without any."""
-    languages = sorted({x[0] for x in shares})
-    if not languages:
-        return None
-    code = codewords(len(languages))
-    mean = np.full((len(languages), 2 * SIZE), 1e-6)
-    for k, name in enumerate(languages):
-        own = [x for x in shares if x[0] == name]
-        for _, e, s in own:
-            mean[k, e] += s / len(own)
-    bits = code.shape[1]
-    weights, scale, shift, trust = np.zeros((2 * SIZE, bits), np.float32), np.ones(bits), np.zeros(bits), np.ones(bits)
-    truth = code[[languages.index(x[0]) for x in shares]]
+def odds_of(chosen: DataFrame, weights: np.ndarray) -> DataFrame:
+    """lang, half, odds: each text's averaged log odds by every column of the weights."""
+    sent = chosen.sparkSession.sparkContext.broadcast(weights)  # 2 * SIZE rows, a column a bit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in text_slices(batch, "text"):
+                odds = log_odds(sent.value, data, at)
+                part = batch.slice(lo, hi - lo)
+                yield pa.record_batch({"lang": part.column("lang"), "half": part.column("half"), "odds": pa.array(list(odds), pa.list_(pa.float64()))})
+
+    return chosen.mapInArrow(run, "lang string, half int, odds array<double>")
+
+
+def bit_weights(mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codewords of languages and the weights of every entry for each bit, from languages x entries of mean shares."""
+    code = codewords(len(mean)) if len(mean) else np.zeros((0, 0))
+    mean = mean + 1e-6
+    columns = [np.clip(np.log(mean[c > 0].mean(0) / mean[c < 0].mean(0)), -4, 4) for c in code.T]
+    return code, np.array(columns, np.float32).T.reshape(mean.shape[1], -1)
+
+
+def calibrated(languages: list[str], code: np.ndarray, weights: np.ndarray, truth: np.ndarray, odds: np.ndarray) -> Model:
+    """The model whose bits are put on a common scale and trusted by labelled texts: ``truth`` is a place among the languages, odds are texts x bits."""
+    bits, n = code.shape[1], len(truth)
+    scale, shift, trust = np.ones(bits), np.zeros(bits), np.ones(bits)
     for b in range(bits):
-        w = np.clip(np.log(mean[code[:, b] > 0].mean(0) / mean[code[:, b] < 0].mean(0)), -4, 4)
-        weights[:, b] = w
-        x = np.array([float(w[e] @ s) for _, e, s in shares])
-        scale[b], shift[b] = logistic(x, truth[:, b])
-        right = ((x * scale[b] + shift[b] > 0) == (truth[:, b] > 0)).mean()
-        trust[b] = math.log(max(right, 0.5) * len(shares) + 1) - math.log((1 - right) * len(shares) + 1)
+        y, x = code[truth, b], odds[:, b]
+        scale[b], shift[b] = logistic(x, y)
+        right = ((x * scale[b] + shift[b] > 0) == (y > 0)).mean()
+        trust[b] = math.log(max(right, 0.5) * n + 1) - math.log((1 - right) * n + 1)
     trust = np.maximum(trust, 1e-3) / max(1e-3, trust.mean()) if bits else trust
     return Model(languages, code, weights, scale, shift, trust)
 
 
+def learned(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> tuple[Model | None, float]:
+    """The model of the labelled texts, and the loss above which a decoding is unreliable.
+
+    Each half of the texts is decoded by what the other half teaches as well. Those
+    decoded right are clean, clearly or not, as a text may mix languages; the limit is
+    the largest loss among them. Without any, or with fewer than two languages, there
+    is no limit.
+
+    What comes to the driver: sums of n-gram shares, 2 * SIZE entries for each half of
+    a language at most, then some log odds of each text of the bounded sample. Neither
+    grows with the length of texts.
+    """
+    chosen = sampled(docs, text, label, sample)
+    numbers = {(r["lang"], r["half"]): r["n"] for r in chosen.groupBy("lang", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted({lang for lang, _ in numbers})
+    if not languages:
+        return None, math.inf
+    sums = {key: np.zeros(2 * SIZE) for key in numbers}
+    found = gram_sums(chosen).toArrow()
+    for key in numbers:
+        own = found.filter((pc.field("lang") == key[0]) & (pc.field("half") == key[1]))
+        sums[key][own.column("entry").to_numpy()] = own.column("share").to_numpy() / ONE
+    sets = []  # (languages, code, weights) of all texts, and of either half
+    for halves in ((0, 1), (0,), (1,)):
+        names = [x for x in languages if any((x, h) in numbers for h in halves)]
+        mean = [sum(sums[x, h] for h in halves if (x, h) in numbers) / sum(numbers.get((x, h), 0) for h in halves) for x in names]
+        sets.append((names, *bit_weights(np.array(mean).reshape(len(names), 2 * SIZE))))
+    rows = sorted((r["lang"], r["half"], *r["odds"]) for r in odds_of(chosen, np.hstack([w for _, _, w in sets])).collect())
+    lang, half, odds = np.array([r[0] for r in rows], object), np.array([r[1] for r in rows]), np.array([r[2:] for r in rows], np.float64).reshape(len(rows), -1)
+    models, at, largest = [], 0, -math.inf
+    for k, (names, code, weights) in enumerate(sets):
+        own = odds[:, at : at + code.shape[1]]
+        at += code.shape[1]
+        place = np.array([names.index(x) if x in names else -1 for x in lang])
+        taught = half == k - 1 if k else np.ones(len(rows), bool)
+        models.append(calibrated(names, code, weights, place[taught], own[taught]) if names else None)
+        if k and len(names) > 1 and not taught.all():
+            loss = models[k].losses(own[~taught])
+            largest = max(largest, loss.min(1)[loss.argmin(1) == place[~taught]].max(initial=-math.inf))
+    return models[0], largest if largest > 0 and len(languages) > 1 else math.inf
+
+
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
     """Slope and shift of a balanced one-dimensional logistic fit, by Newton steps; y is -1 or 1."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
@@ -181,34 +247,49 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3)
     return a, c
 
 
-def loss_limit(shares: list[tuple[str, np.ndarray, np.ndarray]]) -> float:
-    """The loss above which a decoding is unreliable.
+def train(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model | None:
+    return learned(docs, text, label, sample)[0]
 
-    Each half of the labelled texts is decoded by what the other half teaches. Those
-    decoded right are clean, clearly or not, as a text may mix languages; the limit is
-    MARGIN times their largest loss.
-    Without any, or with fewer than two languages, there is no limit.
-    """
-    halves: list[list] = [[], []]
-    for name in {x[0] for x in shares}:
-        own = [x for x in shares if x[0] == name]
-        for k, x in enumerate(own):
-            halves[k % 2].append(x)
-        if len(own) == 1:
-            halves[1].append(own[0])
-    largest = -math.inf
-    for taught, asked in (halves, halves[::-1]):
-        model = fit(sorted(taught, key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes())))
-        if model is None or len(model.languages) < 2:
-            return math.inf
-        odds = np.array([model.weights[e].T @ s for _, e, s in asked])
-        truth, loss = np.array([model.languages.index(x[0]) for x in asked]), model.losses(odds)
-        largest = max(largest, loss.min(1)[loss.argmin(1) == truth].max(initial=-math.inf))
-    return MARGIN * largest if largest > 0 else math.inf
 
+#: Evidence (a difference of log likelihoods) that decides.
+EVIDENCE = 7.0
+VOWELS = frozenset("aeiouyæøœıəɛɔ")
 
-def train(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model | None:
-    return fit(sample_shares(docs, text, label, sample))
+
+def favours(k: int, n: int, one: float, other: float) -> bool:
+    """Whether k of n speak clearly for the rate ``one`` against ``other``."""
+    return k * math.log(one / other) + (n - k) * math.log((1 - one) / (1 - other)) > EVIDENCE
+
+
+def noisy(text: str) -> bool:
+    """Whether a text shows by itself that it isn't written in any language.
+
+    Any of: a quarter of its characters other than white space are letters or marks
+    rather than three quarters; its triples of characters are fewer than the root of
+    their number; its Latin letters are vowels at a rate of a tenth rather than of a
+    third; they are spread as evenly over the alphabet as chance would do it. Each
+    needs evidence that grows with the text, so little text is never noise.
+    """
+    solid = "".join(text.split())
+    letters = Counter(c for c in solid.lower() if unicodedata.category(c)[0] in "LM")
+    if favours(letters.total(), len(solid), 0.25, 0.75):
+        return True
+    triples = len({text[i : i + 3] for i in range(len(text) - 2)})
+    if len(text) > 2 * EVIDENCE and triples < min(512, math.sqrt(len(text))):
+        return True
+    latin: Counter = Counter()
+    for c, n in letters.items():
+        base = unicodedata.normalize("NFD", c)[0]
+        if "a" <= base <= "z" or base in VOWELS:
+            latin[base] += n
+    n = latin.total()
+    if 2 * n < letters.total():
+        return False
+    if favours(sum(k for c, k in latin.items() if c in VOWELS), n, 0.1, 1 / 3):
+        return True
+    # twice the log likelihood by which the letters' own shares beat even ones: 25 by chance, about half a letter in languages
+    uneven = 2 * sum(k * math.log(26 * k / n) for k in latin.values()) if n else 0.0
+    return uneven < 40 and n > 200
 
 
 def log_odds(weights: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -232,7 +313,7 @@ def log_odds(weights: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarra
 
 
 def with_language(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous"), limit: float = math.inf) -> DataFrame:
-    """``docs`` with the predicted language, its probability and the flag of ambiguity. Decodings with a loss above ``limit`` are ``und``."""
+    """``docs`` with the predicted language, its probability and the flag of ambiguity. Noisy texts whose decoding has a loss above ``limit`` are ``und``."""
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if model is None or len(model.languages) < 2:
         only = model.languages[0] if model else UNDETERMINED
@@ -252,7 +333,9 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", name
             for lo, hi, data, at in text_slices(batch, text):
                 odds = log_odds(m.weights, data, at)
                 p = m.probabilities(odds)
-                told = has[lo:hi] & ((m.losses(odds).min(1) <= limit) | (np.diff(at) < SHORT))
+                told = has[lo:hi].copy()
+                for i in np.flatnonzero(told & (m.losses(odds).min(1) > limit)):
+                    told[i] = not noisy(batch.column(text)[lo + int(i)].as_py())
                 best, score = np.where(told, p.argmax(1), -1), np.where(told, p.max(1), 0.0)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
@@ -265,13 +348,13 @@ def with_language(docs: DataFrame, model: Model | None, text: str = "text", name
 def drop_rejected(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """Documents whose language can be told, all columns as they were.
 
-    Rejected are those without any letter, and those of ``SHORT`` bytes or more whose
-    decoding is unreliable (see ``loss_limit``). Where fewer than two languages can
-    be learned, every document with a letter stays.
+    Rejected are those without any letter, and those whose decoding is unreliable (see
+    ``learned``) and whose text shows by itself that it is noise (see ``noisy``). Texts
+    in languages without labels decode unreliably too, but aren't noise: they stay.
+    Where fewer than two languages can be learned, every document with a letter stays.
     """
     names = ("__lang_pred", "__lang_score", "__lang_ambiguous")
-    shares = sample_shares(docs.filter(~held_out(F.col(doc_id))), text, label, SAMPLE)
-    model = fit(shares)
+    model, limit = learned(docs.filter(~held_out(F.col(doc_id))), text, label)
     if model is None:
         return docs.filter(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return with_language(docs, model, text, names, loss_limit(shares)).filter(F.col(names[0]) != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_language(docs, model, text, names, limit).filter(F.col(names[0]) != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
