@@ -1,0 +1,216 @@
+import random
+from datetime import date, datetime, timedelta
+from decimal import Decimal
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.operators import queries
+from sparkloom.operators.asof import _in_ranges, asof_join
+from sparkloom.operators.interval import _sent, _spans, _levels, interval_join
+from sparkloom.operators.ordering import with_row_numbers, with_running_total
+from sparkloom.operators.ticks import place, ticks
+
+SMALL = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events".split()
+ordered = lambda rows: sorted(map(tuple, rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, SMALL)
+    assert ordered(got.collect()) == ordered(con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.SQL[name]})").fetchall()) and got.count()
+
+
+def slow_asof(left, right, direction, tolerance, exact):
+    """Each left (key, t, v) with every right row (key, t, v)."""
+    out = []
+    for k, t, v in left:
+        best = None
+        for rk, rt, rv in right:
+            if None in (k, t, rk, rt) or k != rk or (rt == t and not exact) or (tolerance is not None and abs(rt - t) > tolerance):
+                continue
+            if (direction == "backward" and rt > t) or (direction == "forward" and rt < t):
+                continue
+            rank = (abs(rt - t), rt, [-x for x in (rt, rv)])
+            if best is None or rank < best[0]:
+                best = rank, (rk, rt, rv)
+        out.append((k, t, v, *(best[1] if best else (None, None, None))))
+    return ordered(out)
+
+
+def points(seed, n, keys, times):
+    """A third of the rows share key 0, some times are null, rows repeat."""
+    r = random.Random(seed)
+    rows = [(0 if r.random() < 0.34 else r.choice([*range(keys), None]), r.choice([*range(times), None]), r.randint(0, 9)) for _ in range(n)]
+    return rows + rows[: n // 10]
+
+
+KIND = "k int, t long, v int"
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+@pytest.mark.parametrize("tolerance, exact, pieces", [(None, True, None), (3, True, 7), (None, False, 3), (5, False, 1)])
+def test_asof_join(spark, direction, tolerance, exact, pieces):
+    left, right = points(1, 150, 8, 60), points(2, 60, 8, 60)
+    a, b = (spark.createDataFrame(x, KIND).repartition(3) for x in (left, right))
+    got = asof_join(a, b, "t", "t", ["k"], direction, tolerance, exact, pieces=pieces)
+    assert got.columns == ["k", "t", "v", "k_right", "t_right", "v_right"]
+    assert ordered(got.collect()) == slow_asof(left, right, direction, tolerance, exact)
+
+
+def test_asof_join_without_a_key_and_with_ties(spark):
+    left, right = points(3, 80, 3, 40), points(4, 40, 3, 40)
+    a, b = spark.createDataFrame(left, KIND), spark.createDataFrame(right, KIND)
+    got = asof_join(a, b, "t", "t", pieces=5, ties=["v", "k"])
+    want = []
+    for k, t, v in left:
+        found = [(rt, rv, -1 if rk is None else rk) for rk, rt, rv in right if None not in (t, rt) and rt <= t]
+        rt, rv, rk = max(found, default=(None, None, None))
+        want.append((k, t, v, None if rk == -1 else rk, rt, rv))
+    assert ordered(got.collect()) == ordered(want)
+
+
+@pytest.mark.parametrize("rows", [([], []), ([(1, 2, 3)], []), ([], [(1, 2, 3)]), ([(None, None, None)], [(None, None, None)])])
+def test_asof_join_of_empty_tables(spark, rows):
+    left, right = (spark.createDataFrame(x, KIND) for x in rows)
+    for direction in ("backward", "nearest"):
+        assert ordered(asof_join(left, right, "t", "t", ["k"], direction).collect()) == [(*x, None, None, None) for x in rows[0]]
+        assert asof_join(left, right, "t", "t", (), direction).count() == len(rows[0])
+
+
+def test_asof_join_of_timestamps_and_clashing_names(spark):
+    at = datetime(2024, 3, 31, 0, 30)
+    left = spark.createDataFrame([(1, at + timedelta(hours=h), "own") for h in range(4)], "k int, t timestamp_ntz, t_right string")
+    right = spark.createDataFrame([(1, at + timedelta(hours=1, microseconds=1), "r")], "k int, t timestamp_ntz, __row string")
+    got = asof_join(left, right, "t", "t", ["k"], tolerance=timedelta(hours=1))
+    assert got.columns == ["k", "t", "t_right", "k_right", "t_right_right", "__row"]
+    assert [(r.t.hour, r["__row"]) for r in got.orderBy("t").collect()] == [(0, None), (1, None), (2, "r"), (3, None)]
+    with pytest.raises(ValueError, match="direction"):
+        asof_join(left, right, "t", "t", direction="sideways")
+    with pytest.raises(TypeError, match="whole numbers"):
+        asof_join(left, right, "t_right", "t")
+
+
+def test_a_hot_key_is_dealt_into_ranges(spark):
+    rows = [(0, t, True) for t in range(6000)] + [(1 + t % 300, t, True) for t in range(6000)]
+    df = spark.createDataFrame(rows, "k int, __at long, __asks boolean").repartition(4)
+    sizes = {(r.k, r["__range"]): r["count"] for r in _in_ranges(df, ["k"], 16).groupBy("k", "__range").count().collect()}
+    hot = [n for (k, _), n in sizes.items() if k == 0]
+    assert len(hot) == 16 and max(hot) < 2 * 6000 / 16 and all(r == 0 for k, r in sizes if k)
+    assert sum(sizes.values()) == len(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 9, 100])
+def test_places_by_binary_search(spark, n):
+    limits = sorted(random.Random(n).sample(range(1000), n))
+    got = spark.range(-5, 1005).select("id", place(F.col("id"), limits).alias("p")).collect()
+    assert all(r.p == sum(x <= r.id for x in limits) for r in got)
+
+
+def test_ticks_keep_the_order_of_any_time_zone(spark):
+    rows = [(date(1969, 12, 31), datetime(1969, 12, 31, 23, 59, 59, 999999)), (date(1970, 1, 2), datetime(2024, 3, 31, 2, 30)), (None, None)]
+    df = spark.createDataFrame(rows, "d date, t timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = [tuple(r) for r in df.select(ticks(df, "d"), ticks(df, "t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    want = [(x - date(1970, 1, 1)).days if x else None for x, _ in rows], [(x - datetime(1970, 1, 1)) // timedelta(microseconds=1) if x else None for _, x in rows]
+    assert got == list(zip(*want, strict=True))
+
+
+SPANS = "k int, a long, b long, v int"
+
+
+def spans(seed, n, longest):
+    """A third of the rows share key 0; lengths from below zero to ``longest``, points, nulls, repeats."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        a = r.randint(-50, 200)
+        rows.append((0 if r.random() < 0.34 else r.choice([1, 2, 3, None]), a if r.random() > 0.05 else None, a + r.choice([-1, 0, 1, 2, r.randint(0, longest)]), i))
+    return rows + rows[: n // 10]
+
+
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("by", [["k"], []])
+def test_interval_join(spark, closed, how, by):
+    left, right = spans(1, 70, 400), spans(2, 60, 9)
+    a, b = (spark.createDataFrame(x, SPANS).repartition(3) for x in (left, right))
+    got = interval_join(a, b, ("a", "b"), ("a", "b"), by, how, closed)
+    assert got.columns == ["k", "a", "b", "v", "k_right", "a_right", "b_right", "v_right"]
+    want, edge = [], 1 if closed else 0
+    for x in left:
+        own = [
+            (*x, *y) for y in right
+            if None not in (x[1], y[1]) and x[1] < x[2] + edge and y[1] < y[2] + edge and max(x[1], y[1]) < min(x[2], y[2]) + edge and (not by or (x[0] is not None and x[0] == y[0]))
+        ]
+        want += own or ([(*x, None, None, None, None)] if how == "left" else [])
+    assert ordered(got.collect()) == ordered(want)
+
+
+@pytest.mark.parametrize("rows", [([], []), ([(1, 2, 3, 4)], []), ([], [(1, 2, 3, 4)])])
+def test_interval_join_of_empty_tables(spark, rows):
+    a, b = (spark.createDataFrame(x, SPANS) for x in rows)
+    assert interval_join(a, b, ("a", "b"), ("a", "b"), ["k"]).count() == 0
+    assert interval_join(a, b, ("a", "b"), ("a", "b"), how="left").count() == len(rows[0])
+    with pytest.raises(ValueError, match="how"):
+        interval_join(a, b, ("a", "b"), ("a", "b"), how="outer")
+
+
+def test_intervals_far_apart_in_length_and_below_zero(spark):
+    rows = [(1, -(2**61), 2**60, 0), (1, -1, 1, 1), (1, 2**60 - 1, 2**60 + 5, 2), (1, 0, 1, 3), (1, 2**60, 2**60 + 1, 4)]
+    df = spark.createDataFrame(rows, SPANS)
+    got = {(r.v, r.v_right) for r in interval_join(df, df, ("a", "b"), ("a", "b"), ["k"]).collect()}
+    assert got == {(x[3], y[3]) for x in rows for y in rows if max(x[1], y[1]) < min(x[2], y[2])}
+
+
+@pytest.mark.parametrize("longest", [1, 30, 3000])
+def test_matches_stay_in_proportion_to_overlaps(spark, longest):
+    """Matches of the keys alone, before overlaps are tested; and the plan has no nested loop."""
+    r = random.Random(longest)
+    made = [[(1, a, a + r.randint(1, most), 0) for a in (r.randint(0, 100_000) for _ in range(2000))] for most in (longest, 10)]
+    a, b = (spark.createDataFrame(x, SPANS) for x in made)
+    x, y = _spans(a, ("a", "b"), ["k"], False, 0), _spans(b, ("a", "b"), ["k"], False, 1)
+    sent = _sent(x, "__x", _levels(y, "__y")), _sent(y, "__y", _levels(x, "__x"))
+    same = (F.col("__x_bin") == F.col("__y_bin")) & (F.col("__x_at") == F.col("__y_at"))
+    met = sent[0].join(sent[1], same & ((F.col("__x_at") == F.col("__x_level")) | (F.col("__y_at") == F.col("__y_level")))).count()
+    found = interval_join(a, b, ("a", "b"), ("a", "b"), ["k"])
+    assert met <= 12 * found.count() + 2000 and max(s.count() for s in sent) <= 2 * 8 * 2000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 13])
+def test_row_numbers_and_running_totals(spark, ranges):
+    r = random.Random(5)
+    rows = [(r.choice([None, 1, 1, 1, r.randint(0, 50)]), r.choice(["a", "b", None]), Decimal(r.randint(-9, 9))) for _ in range(300)]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "x int, row_number string, v decimal(10,0), id int").repartition(5)
+    first = lambda v: (v is not None, v if v is not None else 0)
+    want = sorted(enumerate(rows), key=lambda p: (first(p[1][0]), p[0]))
+    got = {q.id: q.n for q in with_row_numbers(df, F.col("x"), F.col("id"), name="n", ranges=ranges).collect()}
+    assert [got[i] for i, _ in want] == list(range(1, 301))
+    sums, total = {q.id: q.total for q in with_running_total(df, F.col("v"), F.col("x"), F.col("id"), name="total", ranges=ranges).collect()}, 0
+    for i, x in want:
+        total += x[2]
+        assert sums[i] == total
+
+
+def test_rows_that_an_order_leaves_equal(spark):
+    """One value in all rows: each has a number of its own, and no range holds them all; nor is there a task that does."""
+    df = spark.range(2000).selectExpr("id", "1 AS x")
+    got = with_row_numbers(df, F.col("x"), ranges=8)
+    assert sorted(r.row_number for r in got.collect()) == list(range(1, 2001))
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 1500
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    same = spark.createDataFrame([(1,)] * 10, "x int")
+    assert sorted(r.row_number for r in with_row_numbers(same, F.col("x")).collect()) == list(range(1, 11))
+    assert with_row_numbers(same.limit(0), F.col("x")).count() == 0
+    assert with_running_total(same.limit(0), F.col("x"), F.col("x")).count() == 0
