@@ -80,9 +80,33 @@ def running_revenue(spark, sf_dir):
     return found.select("o_orderkey", F.col("revenue").cast("double").alias("revenue"))
 
 
+def asof_last_user_turn(spark, sf_dir):
+    """Each turn of an assistant with the user's last turn before it in the conversation."""
+    turns = _table(spark, sf_dir, "conversations")
+    said = turns.filter("role = 'assistant'").select("conv_id", "turn", F.length("text").cast("long").alias("n_chars"))
+    asked = turns.filter("role = 'user'").select("conv_id", F.col("turn").alias("user_turn"), F.length("text").cast("long").alias("user_chars"))
+    return asof_join(said, asked, "turn", "user_turn", ["conv_id"], exact=False).select("conv_id", "turn", "n_chars", "user_turn", "user_chars")
+
+
+def interval_like_length(spark, sf_dir):
+    """For each benchmark item the documents whose length is within a hundredth of its own."""
+    n = F.length("text").cast("long")
+    items = _table(spark, sf_dir, "benchmark").select("item_id", (n - F.floor(n / 100)).alias("least"), (n + F.floor(n / 100)).alias("most"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    found = interval_join(docs, items, ("n_chars", "n_chars"), ("least", "most"), closed=True)
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.min("doc_id").alias("first_doc"))
+
+
+def numbered_documents(spark, sf_dir):
+    """The number of each document in the order of lengths, and the characters up to it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    order = F.col("n_chars").desc(), F.col("doc_id")
+    return with_running_total(with_row_numbers(docs, *order, name="place"), F.col("n_chars"), F.col("place"), name="chars_to_here")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (asof_last_order, asof_last_order_of_line, asof_next_purchase, asof_nearest_click, interval_open_orders, interval_errors_after_purchase, numbered_lines, running_revenue)
+    for f in (asof_last_order, asof_last_order_of_line, asof_next_purchase, asof_nearest_click, interval_open_orders, interval_errors_after_purchase, numbered_lines, running_revenue, asof_last_user_turn, interval_like_length, numbered_documents)
 }
 SQL = {
     "asof_last_order": """
@@ -138,4 +162,19 @@ SQL = {
         SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS revenue
         FROM orders
     """,
+    "asof_last_user_turn": """
+        WITH a AS (SELECT conv_id, turn, length(text) AS n_chars FROM conversations WHERE role = 'assistant'),
+        u AS (SELECT conv_id, turn AS user_turn, length(text) AS user_chars FROM conversations WHERE role = 'user')
+        SELECT a.conv_id, turn, n_chars, user_turn, user_chars FROM a ASOF LEFT JOIN u ON a.conv_id = u.conv_id AND a.turn > u.user_turn
+    """,
+    "interval_like_length": """
+        WITH i AS (SELECT item_id, length(text) AS n FROM benchmark), d AS (SELECT doc_id, length(text) AS n_chars FROM documents)
+        SELECT item_id, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars, min(doc_id) AS first_doc
+        FROM i JOIN d ON n_chars BETWEEN n - n // 100 AND n + n // 100 GROUP BY 1
+    """,
+    "numbered_documents": """
+        WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n_chars FROM documents)
+        SELECT *, row_number() OVER w AS place, CAST(sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars_to_here
+        FROM d WINDOW w AS (ORDER BY n_chars DESC, doc_id)
+    """,
 }

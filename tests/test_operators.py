@@ -13,7 +13,7 @@ from sparkloom.operators.ordering import with_row_numbers, with_running_total
 from sparkloom.operators.ticks import place, ticks
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents benchmark conversations".split()
 ordered = lambda rows: sorted(map(tuple, rows), key=repr)
 
 
