@@ -4,7 +4,7 @@ Words (the matches of the public pattern) are sorted into buckets by length and
 each bucket becomes a matrix of token ids, padded at the right. In every round
 each row merges its leftmost pair of least rank: pair ranks come from a hash
 table of arrays, one column closes up in every row, and rows without a pair
-left are taken out. A word too long for a matrix merges in the same order with
+left are taken out. A word of more than 1,024 bytes merges in the same order with
 its pairs in a heap.
 
 Each distinct piece of a text is encoded once and kept in a bounded table.
@@ -31,8 +31,11 @@ from sparkloom.llm.arrow_text import text_slices
 from sparkloom.llm.chunks import PieceTable
 
 NONE = np.int32(2**31 - 1)
-#: Widths of the buckets; longer words are merged one by one.
-WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+#: Widths of the buckets. A row's work grows with the square of its width, so longer words, which hardly
+#: any script has between marks and spaces, are merged one by one in a heap.
+WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: Rows and places that a matrix has at most.
+ROWS, PLACES = 1 << 14, 1 << 20
 
 
 class PairTable:
@@ -92,8 +95,9 @@ class Codec:
         low = 0
         for width in WIDTHS:
             rows = np.flatnonzero((size > low) & (size <= width))
-            for k in range(0, len(rows), 1 << 14):
-                some = rows[k : k + (1 << 14)]
+            step = min(ROWS, PLACES // width)
+            for k in range(0, len(rows), step):
+                some = rows[k : k + step]
                 for r, ids in zip(some.tolist(), self.merge([words[i] for i in some], width), strict=True):
                     out[r] = ids
             low = width

@@ -32,18 +32,22 @@ class Memo(dict):
         self[piece] = made
         self.size += ENTRY + 4 * len(piece) + len(made or b"")
 
-    def clear(self) -> None:
-        super().clear()
-        self.size = 0
+    def halve(self) -> None:
+        """Let the older half go."""
+        for old in list(self)[: (len(self) + 1) // 2]:
+            self.drop(old)
+
+    def drop(self, piece: str) -> None:
+        self.size -= ENTRY + 4 * len(piece) + len(self.pop(piece) or b"")
 
 
 class PieceTable:
     """Encodings of pieces, as bytes that can be joined.
 
     ``encode`` takes a list of pieces and gives a list of bytes; ``one``, if
-    given, encodes a single piece where that is as fast. The table is emptied
-    when it holds more than about ``most`` bytes, so beyond the texts of one
-    call its memory is bounded.
+    given, encodes a single piece where that is as fast. The older half goes
+    when it holds more than about ``most`` bytes, and long pieces go at once, so
+    beyond the texts of one call its memory is bounded.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 64 << 20, one: Callable[[str], bytes] | None = None):
@@ -52,9 +56,9 @@ class PieceTable:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Add what is missing of texts split at single spaces. A piece that doesn't end a run gets None."""
-        if self.first.size + self.later.size > self.most:
-            self.first.clear()
-            self.later.clear()
+        while self.first.size + self.later.size > self.most:
+            self.first.halve()
+            self.later.halve()
         if self.one is not None:
             return
         later: set[str] = set()
@@ -77,6 +81,9 @@ class PieceTable:
                 out.append(b"".join([self.first[s[0]], *map(self.later.__getitem__, s[1:])]))
             except TypeError:  # white space before a space
                 out.append(b"".join(self.encode(whole_pieces(s))))
+        for table in (self.first, self.later) if self.one is None else ():
+            for p in {p for s in split for p in s if len(p) > LONGEST} & table.keys():
+                table.drop(p)
         return out
 
 

@@ -2,12 +2,14 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
 from sparkloom.llm.bpe import Codec, decoded, digests, encoded
 from sparkloom.llm.chunks import PieceTable, whole_pieces
+from sparkloom.llm.queries_bpe import op1_bpe
 from tests.llm.conftest import ODD
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,4 +75,29 @@ def test_long_pieces_are_not_kept():
     t.joined([" ".join(f"w{k}" for k in range(100))])
     assert t.later.size > 10_000
     t.joined(["x"])
-    assert t.first.size + t.later.size < 500
+    # the younger ones stay
+    assert t.first.size + t.later.size < 11_000 and "w99" in t.later and "w1" not in t.later
+    many = PieceTable(lambda p: [x.encode() for x in p])
+    assert many.joined([long + " a"]) == [(long + " a").encode()] and long not in many.first and "a" in many.later and many.first.size == 0
+
+
+def test_scripts_without_spaces_are_merged_in_matrices(codec, library, monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(chr(r.randint(lo, hi)) for _ in range(n)) for lo, hi in ((0x4E00, 0x9FFF), (0x0E01, 0x0E2E), (0x0430, 0x044F), (97, 122)) for n in (22, 65, 120, 200, 340)]
+    texts += ["今天早上我们去树林里找蘑菇" * k for k in (1, 5, 20, 26)]
+    monkeypatch.setattr(codec, "merge_long", None)  # not called
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.pieces(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_longer_words_leave_the_matrices(codec, library):
+    for text in ("字" * 400, "ab" * 700, "x" * 1025, "ü" * 512, "ü" * 513):
+        assert codec.encode([text])[0].tolist() == library.encode_ordinary(text)
+
+
+def test_query(spark, library):
+    data = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        ids = library.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    assert {r[0]: tuple(r[1:4]) for r in op1_bpe(spark, data).collect()} == want

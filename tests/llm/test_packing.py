@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from sparkloom.llm import packing
 from sparkloom.llm.packing import cuts, pack
+from sparkloom.llm.queries_packing import op6_packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -110,3 +111,25 @@ def test_small_blocks(docs_of, prose):
         assert at == len(encode([t])[0]) // 4 + 1
     ids = [s for o in out for s in o["sequence_id"].tolist()]
     assert sorted(set(ids)) == list(range(max(ids) + 1))
+
+
+def test_query(spark):
+    """The registered query's pieces: ids, places and sequences as the contract names them."""
+    data, t = "/root/testdata/sf0.001", Tokenizer.from_file(PATH)
+    docs = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 1] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = op6_packing(spark, data)
+    assert got.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    taken, sequences = defaultdict(list), defaultdict(list)
+    for r in got.collect():
+        ids = docs[r.doc_id][r.start : r.start + r.length]
+        assert len(ids) == r.length and zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(docs[r.doc_id])
+        taken[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for k, ids in docs.items():
+        assert sum(n for _, n in taken[k]) == len(ids) and len(set(taken[k])) == len(taken[k])
+    for own in sequences.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 2048
