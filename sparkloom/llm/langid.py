@@ -44,7 +44,7 @@ SIZE = 1 << 16
 CLEAR = 0.6
 #: A share of 1 in sums of shares.
 ONE = 1 << 40
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _fold() -> np.ndarray:
