@@ -34,6 +34,8 @@ NONE = np.int32(2**31 - 1)
 #: Widths of the buckets. A row's work grows with the square of its width, so longer words, which hardly
 #: any script has between marks and spaces, are merged one by one in a heap.
 WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: Bytes that the table of pieces holds at most, about.
+TABLE = 144 << 20
 #: Rows and places that a matrix has at most.
 ROWS, PLACES = 1 << 14, 1 << 20
 
@@ -80,7 +82,7 @@ class Codec:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.parts = parts = {(ranks[t[:k]], ranks[t[k:]]): i for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         self.pairs = PairTable(parts)
-        self.table = PieceTable(self.pieces)
+        self.table = PieceTable(self.pieces, most=TABLE)
 
     def pieces(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each, little-endian."""

@@ -12,33 +12,46 @@ from collections.abc import Callable
 
 #: Longer pieces (in characters) hardly repeat, as where a script has no spaces: they aren't kept.
 LONGEST = 64
+#: Places in which pieces that were met are noted, so that the many that occur once don't crowd out others.
+MET = 1 << 21
 #: What an entry takes beside its piece and its encoding, about, in bytes.
 ENTRY = 200
 
 
 class Memo(dict):
-    """Makes what is asked for and missing; nothing for a piece that doesn't end a run. ``size``: bytes held, about."""
+    """What is made of pieces, from the second time on that a piece is asked for; nothing for a piece that doesn't end a run.
+
+    ``once``: of pieces met for the first time, for a single call. ``size``: bytes held, about.
+    """
 
     def __init__(self, mark: str, one: Callable[[str], bytes] | None):
-        self.mark, self.one, self.size = mark, one, 0
+        self.mark, self.one, self.size, self.once, self.met = mark, one, 0, {}, bytearray(MET)
 
     def __missing__(self, piece: str) -> bytes | None:
+        if self.one is None:
+            return self.once[piece]
         made = self.one(self.mark + piece) if piece and not piece[-1].isspace() else None
-        if len(piece) <= LONGEST:
+        if self.again(piece):
             self.put(piece, made)
         return made
 
+    def again(self, piece: str) -> bool:
+        """Whether a piece was met before (or one that shares its place) and is short enough to be kept."""
+        at = hash(piece) % MET
+        if self.met[at]:
+            return len(piece) <= LONGEST
+        self.met[at] = 1
+        return False
+
     def put(self, piece: str, made: bytes | None) -> None:
         self[piece] = made
         self.size += ENTRY + 4 * len(piece) + len(made or b"")
 
     def halve(self) -> None:
-        """Let the older half go."""
+        """Let the older half go, and begin anew to note what was met."""
         for old in list(self)[: (len(self) + 1) // 2]:
-            self.drop(old)
-
-    def drop(self, piece: str) -> None:
-        self.size -= ENTRY + 4 * len(piece) + len(self.pop(piece) or b"")
+            self.size -= ENTRY + 4 * len(old) + len(self.pop(old) or b"")
+        self.met = bytearray(MET)
 
 
 class PieceTable:
@@ -46,7 +59,7 @@ class PieceTable:
 
     ``encode`` takes a list of pieces and gives a list of bytes; ``one``, if
     given, encodes a single piece where that is as fast. The older half goes
-    when it holds more than about ``most`` bytes, and long pieces go at once, so
+    when it holds more than about ``most`` bytes, and long pieces aren't kept, so
     beyond the texts of one call its memory is bounded.
     """
 
@@ -69,7 +82,10 @@ class PieceTable:
             plain = [p for p in new if p and not p[-1].isspace()]
             made = dict(zip(plain, self.encode([mark + p for p in plain]), strict=True))
             for p in new:
-                table.put(p, made.get(p))
+                if table.again(p):
+                    table.put(p, made.get(p))
+                else:
+                    table.once[p] = made.get(p)
 
     def joined(self, texts: list[str]) -> list[bytes]:
         """The encoding of each text."""
@@ -81,9 +97,8 @@ class PieceTable:
                 out.append(b"".join([self.first[s[0]], *map(self.later.__getitem__, s[1:])]))
             except TypeError:  # white space before a space
                 out.append(b"".join(self.encode(whole_pieces(s))))
-        for table in (self.first, self.later) if self.one is None else ():
-            for p in {p for s in split for p in s if len(p) > LONGEST} & table.keys():
-                table.drop(p)
+        self.first.once.clear()
+        self.later.once.clear()
         return out
 
 

@@ -65,20 +65,28 @@ def test_dataframes(docs_of, odd, library):
     assert digests(docs_of([]), PATH, public_tokenizers.PATTERN).count() == 0
 
 
-def test_long_pieces_are_not_kept():
+def test_what_is_kept():
+    """Short pieces, from the second time on; beyond the bound the younger half."""
     made = []
     t = PieceTable(lambda p: [x.encode() for x in p], most=10_000, one=lambda p: made.append(p) or p.encode())
     long = "日本語" * 1000
-    for _ in range(3):
+    for _ in range(5):
         assert t.joined([long + " a b " + long]) == [(long + " a b " + long).encode()]
-    assert made.count(" a") == 1 and t.first.size + t.later.size < 10_000
-    t.joined([" ".join(f"w{k}" for k in range(100))])
-    assert t.later.size > 10_000
+    assert made.count(" a") == 2 and made.count(long) == 5 and set(t.later) == {"a", "b"} and not t.first
+    words = [f"w{k}" for k in range(100)]
+    for _ in range(2):
+        t.joined([" ".join(words)])
+    assert t.later.size > 10_000 and "w99" in t.later
     t.joined(["x"])
-    # the younger ones stay
     assert t.first.size + t.later.size < 11_000 and "w99" in t.later and "w1" not in t.later
-    many = PieceTable(lambda p: [x.encode() for x in p])
-    assert many.joined([long + " a"]) == [(long + " a").encode()] and long not in many.first and "a" in many.later and many.first.size == 0
+
+
+def test_what_is_kept_of_pieces_made_together():
+    made = []
+    t = PieceTable(lambda p: made.extend(p) or [x.encode() for x in p])
+    for _ in range(4):
+        assert t.joined(["x" * 100 + " a", "a a"]) == [("x" * 100 + " a").encode(), b"a a"]
+    assert made.count(" a") == 2 and made.count("x" * 100) == 4 and not t.first.once and "a" in t.later and t.later.size < 300
 
 
 def test_scripts_without_spaces_are_merged_in_matrices(codec, library, monkeypatch):
