@@ -31,7 +31,10 @@ class Memo(dict):
         if self.one is None:
             return self.once[piece]
         made = self.one(self.mark + piece) if piece and not piece[-1].isspace() else None
-        if self.again(piece):
+        at = hash(piece) % MET
+        if not self.met[at]:
+            self.met[at] = 1
+        elif len(piece) <= LONGEST:
             self.put(piece, made)
         return made
 
