@@ -24,19 +24,11 @@ class Memo(dict):
     ``once``: of pieces met for the first time, for a single call. ``size``: bytes held, about.
     """
 
-    def __init__(self, mark: str, one: Callable[[str], bytes] | None):
-        self.mark, self.one, self.size, self.once, self.met = mark, one, 0, {}, bytearray(MET)
+    def __init__(self):
+        self.size, self.once, self.met = 0, {}, bytearray(MET)
 
     def __missing__(self, piece: str) -> bytes | None:
-        if self.one is None:
-            return self.once[piece]
-        made = self.one(self.mark + piece) if piece and not piece[-1].isspace() else None
-        at = hash(piece) % MET
-        if not self.met[at]:
-            self.met[at] = 1
-        elif len(piece) <= LONGEST:
-            self.put(piece, made)
-        return made
+        return self.once[piece]
 
     def again(self, piece: str) -> bool:
         """Whether a piece was met before (or one that shares its place) and is short enough to be kept."""
@@ -60,23 +52,20 @@ class Memo(dict):
 class PieceTable:
     """Encodings of pieces, as bytes that can be joined.
 
-    ``encode`` takes a list of pieces and gives a list of bytes; ``one``, if
-    given, encodes a single piece where that is as fast. The older half goes
-    when it holds more than about ``most`` bytes, and long pieces aren't kept, so
-    beyond the texts of one call its memory is bounded.
+    ``encode`` takes a list of pieces and gives a list of bytes. The older half
+    goes when the table holds more than about ``most`` bytes, and long pieces
+    aren't kept, so beyond the texts of one call its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 64 << 20, one: Callable[[str], bytes] | None = None):
-        self.encode, self.most, self.one = encode, most, one
-        self.first, self.later = Memo("", one), Memo(" ", one)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 64 << 20):
+        self.encode, self.most = encode, most
+        self.first, self.later = Memo(), Memo()
 
     def learn(self, texts: list[list[str]]) -> None:
         """Add what is missing of texts split at single spaces. A piece that doesn't end a run gets None."""
         while self.first.size + self.later.size > self.most:
             self.first.halve()
             self.later.halve()
-        if self.one is not None:
-            return
         later: set[str] = set()
         for t in texts:
             later.update(t[1:])
