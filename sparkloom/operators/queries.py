@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from sparkloom.operators.asof import asof_join
 from sparkloom.operators.interval import interval_join
 from sparkloom.operators.ordering import with_row_numbers, with_running_total
+from sparkloom.operators.sampling import weighted_sample
+from sparkloom.operators.sketches import estimates, rolled_up, sketched
+from sparkloom.session import written
 
 
 def _table(spark, sf_dir, name):
@@ -104,9 +107,39 @@ def numbered_documents(spark, sf_dir):
     return with_running_total(with_row_numbers(docs, *order, name="place"), F.col("n_chars"), F.col("place"), name="chars_to_here")
 
 
+def sample_documents(spark, sf_dir):
+    """Forty documents of each language and source, drawn with chances in proportion to their length."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.length("text").alias("n_chars"))
+    return weighted_sample(docs, ["lang", "source"], "n_chars", 40, ["doc_id"], seed=1)
+
+
+def sample_orders(spark, sf_dir):
+    """A thousand orders of each priority, drawn with chances in proportion to their price."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return weighted_sample(orders, ["o_orderpriority"], "o_totalprice", 1000, ["o_orderkey"], seed=2)
+
+
+def sketch_ship_days(spark, sf_dir):
+    """Days and quantities of shipped lines by flag and status, by month, and of all, from one stored table of sketches; both are few, so the counts are exact."""
+    lines = _table(spark, sf_dir, "lineitem")
+    dims = {"l_returnflag": F.col("l_returnflag"), "l_linestatus": F.col("l_linestatus"), "month": F.date_format("l_shipdate", "yyyy-MM")}
+    table = written(sketched(lines, dims, {"days": F.unix_date(F.col("l_shipdate").cast("date")), "quantities": F.col("l_quantity")}), "ship-days")
+    return estimates(rolled_up(table, list(dims), [["l_returnflag", "l_linestatus"], ["month"], []]))
+
+
+def sketch_words(spark, sf_dir):
+    """Different words, and the median and ninth decile of their length, by language and source, by each, and of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    words = docs.select("lang", "source", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).filter(F.col("word") != "")
+    dims = {"lang": F.col("lang"), "source": F.col("source")}
+    table = written(sketched(words, dims, {"words": F.col("word")}, {"length": F.length("word")}), "words")
+    found = estimates(rolled_up(table, list(dims), [["lang", "source"], ["lang"], ["source"], []]), (0.5, 0.9))
+    return found.select("lang", "source", "level", "n_rows", "n_words", F.col("q_length")[0].alias("median_length"), F.col("q_length")[1].alias("ninth_decile"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (asof_last_order, asof_last_order_of_line, asof_next_purchase, asof_nearest_click, interval_open_orders, interval_errors_after_purchase, numbered_lines, running_revenue, asof_last_user_turn, interval_like_length, numbered_documents)
+    for f in (asof_last_order, asof_last_order_of_line, asof_next_purchase, asof_nearest_click, interval_open_orders, interval_errors_after_purchase, numbered_lines, running_revenue, asof_last_user_turn, interval_like_length, numbered_documents, sample_documents, sample_orders, sketch_ship_days, sketch_words)
 }
 SQL = {
     "asof_last_order": """
@@ -177,4 +210,23 @@ SQL = {
         SELECT *, row_number() OVER w AS place, CAST(sum(n_chars) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chars_to_here
         FROM d WINDOW w AS (ORDER BY n_chars DESC, doc_id)
     """,
+    "sample_documents": """
+        WITH d AS (SELECT doc_id, lang, source, length(text) AS n_chars FROM documents),
+        w AS (SELECT *, -ln((CAST('0x' || substr(md5('1|v' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / n_chars AS wait FROM d WHERE n_chars > 0)
+        SELECT doc_id, lang, source, CAST(n_chars AS INTEGER) AS n_chars, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY wait) AS INTEGER) AS drawn FROM w QUALIFY drawn <= 40
+    """,
+    "sample_orders": """
+        WITH w AS (
+            SELECT o_orderkey, o_orderpriority, o_totalprice,
+                   -ln((CAST('0x' || substr(md5('2|v' || o_orderkey), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / o_totalprice AS wait
+            FROM orders WHERE o_totalprice > 0
+        )
+        SELECT o_orderkey, o_orderpriority, o_totalprice, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY wait) AS INTEGER) AS drawn FROM w QUALIFY drawn <= 1000
+    """,
+    "sketch_ship_days": """
+        WITH l AS (SELECT l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m') AS month, CAST(l_shipdate AS DATE) AS day, l_quantity FROM lineitem)
+        SELECT l_returnflag, l_linestatus, month, CAST(grouping(l_returnflag, l_linestatus, month) AS INTEGER) AS level, count(*) AS n_rows,
+               count(DISTINCT day) AS n_days, count(DISTINCT l_quantity) AS n_quantities
+        FROM l GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (month), ())
+    """,
 }
