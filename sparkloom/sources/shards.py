@@ -56,6 +56,7 @@ from pyspark.sql.types import StructField, StructType
 from sparkloom.session import ship
 
 ROWS = 1_000_000
+BYTES = 1 << 27
 LONGEST = 64
 PUSH = "spark.sql.python.filterPushdown.enabled"
 
@@ -142,12 +143,12 @@ def limits(batch: pa.RecordBatch, so_far: dict[str, list]) -> dict[str, list]:
 
 class _Writer:
     def __init__(self, options: dict, schema: StructType):
-        self.path, self.rows = options["path"], int(options.get("rows", ROWS))
+        self.path, self.rows, self.bytes = options["path"], int(options.get("rows", ROWS)), int(options.get("bytes", BYTES))
         self.schema = StructType([StructField(f.name, f.dataType, True) for f in schema]).json()
         self.txn = options.get("txn") or uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        log, done, out = Log(self.path), Written(), None
+        log, done, out, size = Log(self.path), Written(), None, 0
         log.fs.create_dir(f"{log.path}/data", recursive=True)
         try:
             for batch in iterator:
@@ -156,10 +157,12 @@ class _Writer:
                 if out is None:
                     done.shards.append(Shard(f"{uuid.uuid4().hex}.parquet", 0, {}))
                     out = pq.ParquetWriter(f"{log.path}/data/{done.shards[-1].file}", batch.schema, filesystem=log.fs)
+                    size = 0
                 out.write_batch(batch)
+                size += batch.nbytes
                 last = done.shards[-1]
                 last.n, last.limits = last.n + batch.num_rows, limits(batch, last.limits)
-                if last.n >= self.rows:
+                if last.n >= self.rows or size >= self.bytes:
                     out.close()
                     out = None
             if out is not None:
@@ -234,7 +237,7 @@ class StreamReader(_Reader, DataSourceStreamReader):
 
 
 class Shards(DataSource):
-    """``spark.read.format("shards").load(path)``; options ``txn`` and ``rows`` (of a shard, about) for writing."""
+    """``spark.read.format("shards").load(path)``; options ``txn``, and ``rows`` or ``bytes`` after which a shard ends, for writing."""
 
     @classmethod
     def name(cls) -> str:

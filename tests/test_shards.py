@@ -58,6 +58,16 @@ def test_filters_leave_shards_out(spark, tmp_path):
     assert list(reader.pushFilters([GreaterThan(("id",), 899)])) == [GreaterThan(("id",), 899)] and [s.limits["id"] for s in reader.partitions()] == [[900, 999]]
 
 
+def test_shards_end_by_their_bytes(spark, tmp_path):
+    """Rows of a thousand characters in batches of 10,000: each is a shard of its own."""
+    rows = spark.range(0, 30_000, 1, 1).select("id", F.rpad(F.col("id").cast("string"), 1000, "é").alias("text"))
+    register(spark)
+    rows.write.format("shards").option("bytes", "1000000").mode("append").save(str(tmp_path / "t"))
+    log = Log(str(tmp_path / "t"))
+    shards = log.shards(log.names())
+    assert len(shards) >= 3 and sum(s.n for s in shards) == 30_000 == spark.read.format("shards").load(str(tmp_path / "t")).distinct().count()
+
+
 def test_limits_never_rule_out_what_a_shard_may_hold():
     s = Shard("f", 3, {"a": [3, 9], "none": []})
     held = lambda f: s.may_hold(f)
