@@ -11,7 +11,8 @@ change no state. Each row is thus exactly one of kept, repeated and late, and
 batches, across restarts from the checkpoint.
 
 Before the shuffle each task joins the rows of a key and grain to a count and
-the earliest row, so of a key with very many rows a task sends a few.
+the earliest row, so of a key with very many rows a task sends a few. Keys share
+calls and state in buckets (see ``buckets``).
 
 Defined results: nulls in a key equal each other; rows without a time are left
 out, as they can't be judged; of rows of one key in a batch the earliest is
@@ -28,13 +29,11 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from sparkloom.operators.ticks import span
+from sparkloom.streaming.buckets import BUCKETS, JSON, Bucket, bucket_of
 
 GRAINS = 16
-#: microseconds and nulls survive the way through JSON
-JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 PIECE = "key string, at long, last long, first string, n long"
 OUT = "key string, kept boolean, at_us long, first string, n_repeated long, n_late long"
 
@@ -46,51 +45,60 @@ def pieces(pdf: pd.DataFrame, grain: int) -> pd.DataFrame:
     return got.reset_index()[["key", "at", "last", "first", "n"]]
 
 
-class FirstOfKey(StatefulProcessor):
-    """The time of a key's last row, while it may still be repeated."""
+class FirstOfKey(Bucket):
+    """The time of each key's last row, while it may still be repeated."""
+
+    COLUMNS = {"key": "string", "last": "long"}
 
     def __init__(self, grain: int, horizon: int):
         self.grain, self.horizon = grain, horizon
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "last long")
-
     def due(self, last: int) -> int:
         """The watermark, in milliseconds, at which a key is forgotten."""
         return -(-(last + self.horizon) // 1000)
 
+    def keep(self, known: dict[str, int], was: int | None, now: int) -> None:
+        """Keep the keys that aren't forgotten, and set the timer at which the next one is."""
+        rows = [(key, last) for key, last in known.items() if self.due(last) > now]
+        self.write(rows, min((self.due(last) for _, last in rows), default=None), was)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        n_late, n, last, best, least = 0, 0, None, None, None
+        least, n, n_late, best, latest = {}, {}, {}, {}, {}
         for pdf in rows:
-            for at, end, first, count in zip(*(pdf[c].tolist() for c in ("at", "last", "first", "n")), strict=True):
-                least = at if least is None else min(least, at)
+            for k, at, end, first, count in zip(*(pdf[c].tolist() for c in ("key", "at", "last", "first", "n")), strict=True):
+                least[k] = min(at, least.get(k, at))
                 if (at // self.grain + 1) * self.grain <= now * 1000:
-                    n_late += count
+                    n_late[k] = n_late.get(k, 0) + count
                     continue
-                n += count
-                last = end if last is None else max(last, end)
-                best = (at, first) if best is None else min(best, (at, first))
-        known = self.last.get()[0] if self.last.exists() else None
-        kept = n > 0 and (known is None or self.due(known) <= now)  # its timer may be still to come in this batch
-        if n and (known is None or last > known):
-            if known is not None:
-                self.handle.deleteTimer(self.due(known))
-            self.last.update((last,))
-            self.handle.registerTimer(self.due(last))
-        yield pd.DataFrame({"key": [key[0]], "kept": [kept], "at_us": [best[0] if best else least], "first": [best[1] if kept else None], "n_repeated": [n - kept], "n_late": [n_late]})
+                n[k] = n.get(k, 0) + count
+                best[k] = min((at, first), best.get(k, (at, first)))
+                latest[k] = max(end, latest.get(k, end))
+        before, was = self.read()
+        known = dict(before)
+        # the timer of a key that is known may be still to come in this batch
+        kept = [k in n and (k not in known or self.due(known[k]) <= now) for k in least]
+        for k, last in latest.items():
+            known[k] = max(last, known.get(k, last))
+        self.keep(known, was, now)
+        yield pd.DataFrame(
+            {
+                "key": list(least),
+                "kept": kept,
+                "at_us": [best[k][0] if k in best else at for k, at in least.items()],
+                "first": [best[k][1] if new else None for k, new in zip(least, kept, strict=True)],
+                "n_repeated": [n.get(k, 0) - new for k, new in zip(least, kept, strict=True)],
+                "n_late": [n_late.get(k, 0) for k in least],
+            }
+        )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self.due(self.last.get()[0]) <= timerValues.getCurrentWatermarkInMs():
-            self.last.clear()
+        before, was = self.read()
+        self.keep(dict(before), was, timerValues.getCurrentWatermarkInMs())
         yield from ()
 
-    def close(self) -> None:
-        pass
-
 
-def first_rows(events: DataFrame, keys: list[str], time: str, delay: timedelta, horizon: timedelta, keep: list[str]) -> DataFrame:
+def first_rows(events: DataFrame, keys: list[str], time: str, delay: timedelta, horizon: timedelta, keep: list[str], buckets: int = BUCKETS) -> DataFrame:
     """key struct, kept, at_us, first struct (``keep`` of the kept row, else null), n_repeated, n_late: one row for each key that a batch holds.
 
     ``at_us`` is the earliest time of the key's rows in that batch that aren't late (of all, if
@@ -109,6 +117,7 @@ def first_rows(events: DataFrame, keys: list[str], time: str, delay: timedelta,
         for pdf in pdfs:
             yield pieces(pdf, grain)
 
-    found = timed.mapInPandas(cut, PIECE).groupBy("key").transformWithStateInPandas(FirstOfKey(grain, span(horizon)), OUT, "Append", "EventTime")
+    dealt = timed.mapInPandas(cut, PIECE).select(bucket_of("key", buckets), "*")
+    found = dealt.groupBy("bucket").transformWithStateInPandas(FirstOfKey(grain, span(horizon)), OUT, "Append", "EventTime")
     back = lambda name: F.from_json(name, kinds[name].dataType, JSON).alias(name)
     return found.select(back("key"), "kept", "at_us", back("first"), "n_repeated", "n_late")

@@ -7,7 +7,7 @@ import pytest
 
 from sparkloom.streaming import queries
 from sparkloom.streaming.distinct import GRAINS, first_rows, pieces
-from sparkloom.streaming.sessions import batch_sessions, joined, partial_sessions, sessions, to_table
+from sparkloom.streaming.sessions import STORE, batch_sessions, joined, partial_sessions, sessions, to_table
 
 SMALL = "/root/testdata/sf0.001"
 EPOCH = datetime(2024, 1, 1)
@@ -175,6 +175,29 @@ def test_pieces_of_a_hot_key_are_few():
     assert len(got) == 10 and got["n"].sum() == len(at) and got["at"].tolist() == [min(x for x in at if x // 10_000 == g) for g in range(10)]
 
 
+def shared_state(spark, path):
+    """Values of state in the checkpoint."""
+    was = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        return spark.read.format("statestore").option("stateVarName", "keys").load(f"{path}/checkpoint").count()
+    finally:
+        spark.conf.unset(STORE[0]) if was is None else spark.conf.set(STORE[0], was)
+
+
+def test_first_rows_of_many_keys_share_calls_and_state(spark, tmp_path):
+    r = random.Random(11)
+    batches = [[(r.randrange(60), k * 250 + round(r.uniform(0, 240) - (r.random() < 0.1) * 500, 3)) for _ in range(150)] for k in range(4)]
+    for k, rows in enumerate(batches):
+        put(spark, tmp_path / "in", k, rows)
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/b*")
+    got = to_table(first_rows(events, ["user"], "ts", DELAY, HORIZON, ["user"], buckets=3), "firsts", str(tmp_path / "out")).collect()
+    kept, repeated, late = simulated_firsts(batches)
+    assert sorted(((x.key.user, x.at_us) for x in got if x.kept), key=repr) == kept and len(kept) > len({u for u, _ in kept}) > 50
+    assert sum(x.n_repeated for x in got) == repeated and sum(x.n_late for x in got) == late > 0
+    assert 0 < shared_state(spark, tmp_path / "out") <= 3
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
