@@ -11,7 +11,8 @@ late row, or in a session still open.
 
 Before the shuffle each task joins a batch's events to partial sessions, so of a
 key with very many events a task sends a few rows; the state of a key holds a
-start, an end and a number for each open session, no events.
+start, an end and a number for each open session, no events. Keys share calls and
+state in buckets (see ``buckets``), as text.
 
 Spark keeps offsets, state and timers in the checkpoint, so a query that stops
 goes on where it was, with the same sessions.
@@ -32,10 +33,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from sparkloom.operators.ticks import span
 from sparkloom.session import shared_dir
+from sparkloom.streaming.buckets import BUCKETS, JSON, Bucket, bucket_of
 
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 ROW = "first_us long, last_us long, n_events long"
@@ -63,57 +64,57 @@ def partial_sessions(pdf: pd.DataFrame, gap: int) -> pd.DataFrame:
     return pd.DataFrame({"key": key.iloc[first].to_numpy(), "first_us": at[first], "last_us": at[last], "n_events": last - first + 1})
 
 
-class Sessions(StatefulProcessor):
-    """Open sessions of a key, and what becomes of pieces that come in."""
+class Sessions(Bucket):
+    """Open sessions of a bucket's keys, and what becomes of pieces that come in."""
+
+    COLUMNS = {"key": "string", "first_us": "long", "last_us": "long", "n_events": "long"}
 
     def __init__(self, gap: int):
         self.gap = gap
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "first_us long", "last_us long, n_events long")
-
     def due(self, last: int) -> int:
         """The watermark, in milliseconds, at which a session is closed."""
         return -(-(last + self.gap) // 1000)
 
+    def keep(self, rows: list[tuple], was: int | None, now: int) -> Iterator[pd.DataFrame]:
+        """Emit what is closed of (key, first, last, number); keep the others, and set the timer at which the next one is."""
+        closed, open_ = [], []
+        for row in rows:
+            (closed if self.due(row[2]) <= now else open_).append(row)
+        self.write(open_, min((self.due(row[2]) for row in open_), default=None), was)
+        if closed:
+            yield out(closed, False)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        before = {k[0]: (k[0], *v) for k, v in self.open.iterator()}
-        pieces = [p for pdf in rows for p in zip(*(pdf[c].tolist() for c in ("first_us", "last_us", "n_events")), strict=True)]
-        made = joined([*before.values(), *pieces], self.gap)
-        late = [s for s in made if self.due(s[1]) <= now and not any(s[0] <= first <= s[1] for first in before)]
-        after = {s[0]: s for s in made if s not in late}
-        for first, s in before.items():
-            if after.get(first) != s:
-                self.handle.deleteTimer(self.due(s[1]))
-                self.open.removeKey((first,))
-        for first, s in after.items():
-            if before.get(first) != s:
-                self.open.updateValue((first,), s[1:])
-        for s in after.values():
-            self.handle.registerTimer(self.due(s[1]))
+        stored, was = self.read()
+        before: dict[str, list[tuple[int, int, int]]] = {}
+        pieces: dict[str, list[tuple[int, int, int]]] = {}
+        for k, *s in stored:
+            before.setdefault(k, []).append(tuple(s))
+        for pdf in rows:
+            for k, *s in zip(*(pdf[c].tolist() for c in ("key", "first_us", "last_us", "n_events")), strict=True):
+                pieces.setdefault(k, []).append(tuple(s))
+        stay, late = [row for row in stored if row[0] not in pieces], []
+        for k, new in pieces.items():
+            open_ = before.get(k, [])
+            for s in joined([*open_, *new], self.gap):
+                met = self.due(s[1]) > now or any(s[0] <= first <= s[1] for first, _, _ in open_)
+                (stay if met else late).append((k, *s))
         if late:
-            yield out(key, late, True)
+            yield out(late, True)
+        yield from self.keep(stay, was, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        closed = [(k[0], *v) for k, v in self.open.iterator() if self.due(v[0]) <= now]
-        for s in closed:
-            self.open.removeKey((s[0],))
-        if closed:
-            yield out(key, closed, False)
-
-    def close(self) -> None:
-        pass
+        stored, was = self.read()
+        yield from self.keep(stored, was, timerValues.getCurrentWatermarkInMs())
 
 
-def out(key: tuple, sessions: list[tuple[int, int, int]], late: bool) -> pd.DataFrame:
-    first, last, n = zip(*sessions, strict=True)
-    return pd.DataFrame({"key": [key[0]] * len(n), "first_us": first, "last_us": last, "n_events": n, "late": late})
+def out(rows: list[tuple], late: bool) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["key", "first_us", "last_us", "n_events"]).assign(late=late)
 
 
-def sessions(events: DataFrame, key: str, time: str, gap: timedelta, delay: timedelta) -> DataFrame:
+def sessions(events: DataFrame, key: str, time: str, gap: timedelta, delay: timedelta, buckets: int = BUCKETS) -> DataFrame:
     """key, first_us, last_us (microseconds since 1970), n_events, late: closed sessions of a stream, and late events in pieces of sessions.
 
     ``time`` has to be a timestamp with or without time zone; the latter is taken in
@@ -121,15 +122,19 @@ def sessions(events: DataFrame, key: str, time: str, gap: timedelta, delay: time
     """
     length = span(gap)
     rows = events.select(F.col(f"`{key}`").alias("key"), F.col(f"`{time}`").cast("timestamp").alias("time")).dropna()
+    shape = rows.sparkSession.createDataFrame([], rows.schema).select(F.struct("key").alias("key")).schema
     kind = dict(rows.dtypes)["key"]
-    timed = rows.withWatermark("time", f"{span(delay) // 1000} milliseconds").select("key", F.unix_micros("time").alias("at"))
+    plain = (F.col("key") + F.lit(0)).cast(kind) if kind in ("float", "double") else F.col("key")  # -0.0 is 0.0
+    text = F.to_json(F.struct(plain.alias("key")), JSON).alias("key")
+    timed = rows.withWatermark("time", f"{span(delay) // 1000} milliseconds").select(text, F.unix_micros("time").alias("at"))
 
     def pieces(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             yield partial_sessions(pdf, length)
 
-    cut = timed.mapInPandas(pieces, f"key {kind}, {ROW}")
-    return cut.groupBy("key").transformWithStateInPandas(Sessions(length), f"key {kind}, {ROW}, late boolean", "Append", "EventTime")
+    dealt = timed.mapInPandas(pieces, f"key string, {ROW}").select(bucket_of("key", buckets), "*")
+    found = dealt.groupBy("bucket").transformWithStateInPandas(Sessions(length), f"key string, {ROW}, late boolean", "Append", "EventTime")
+    return found.select(F.from_json("key", shape["key"].dataType, JSON)["key"].alias("key"), "first_us", "last_us", "n_events", "late")
 
 
 def batch_sessions(events: DataFrame, key: str, time: str, gap: timedelta) -> DataFrame:

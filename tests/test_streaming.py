@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import duckdb
 import pandas as pd
@@ -198,6 +199,34 @@ def test_first_rows_of_many_keys_share_calls_and_state(spark, tmp_path):
     assert 0 < shared_state(spark, tmp_path / "out") <= 3
 
 
+def test_sessions_of_many_keys_share_calls_and_state(spark, tmp_path):
+    r = random.Random(13)
+    batches = [[(r.randrange(60), k * 250 + round(r.uniform(0, 240) - (r.random() < 0.1) * 500, 3)) for _ in range(150)] for k in range(4)]
+    for k, rows in enumerate(batches):
+        put(spark, tmp_path / "in", k, rows)
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/b*")
+    got = to_table(sessions(events, "user", "ts", GAP, DELAY, buckets=3), "sessions", str(tmp_path / "out")).collect()
+    closed, late, open_ = simulated(batches)
+    assert sorted((x.key, x.first_us, x.last_us, x.n_events) for x in got if not x.late) == closed and len({x[0] for x in closed}) > 50
+    assert sum(x.n_events for x in got if x.late) == sum(n for _, n in late) > 0 and open_ > 3
+    assert 0 < shared_state(spark, tmp_path / "out") <= 3
+
+
+def test_session_keys_of_other_types(spark, tmp_path):
+    """Keys come back as they were, from the state too; 0.0 and -0.0 are one."""
+    kinds = "d double, s string, t timestamp, c decimal(20,4), b binary"
+    at = datetime(1899, 12, 31, 23, 59, 59, 123456)
+    keys = [(0.0, 'a"\\\n\u2028', at, Decimal("-1234567890123456.0001"), b"\0\xff"), (-0.0, "", at, Decimal("0.0000"), b"")]
+    for k, far in enumerate((0, 1000)):
+        spark.createDataFrame([(*key, EPOCH + timedelta(seconds=far)) for key in keys], f"{kinds}, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/in/b{k:03}")
+    for name in "dstcb":
+        events = spark.readStream.schema(f"{kinds}, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/b*")
+        got = to_table(sessions(events, name, "ts", GAP, DELAY, buckets=1), "sessions")
+        want = batch_sessions(spark.read.parquet(f"{tmp_path}/in/b000"), name, "ts", GAP)
+        assert dict(got.dtypes)["key"] == dict(want.dtypes)["key"]
+        assert sorted(tuple(x)[:4] for x in got.collect()) == sorted(map(tuple, want.collect())) and not got.filter("late").count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
